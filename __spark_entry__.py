@@ -134,8 +134,8 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "clean_category_translation": lambda w: w.clean["translation"],
     # model
     "fact_order_items": lambda w: w.items(products=True, sellers=True),
-    "product_category_fallback": lambda w: M.product_attributes(
-        w.clean["products"], w.clean["translation"],
+    "product_category_fallback": lambda w: M.add_products(
+        w.clean["products"].select("product_id"), w.clean["products"], w.clean["translation"],
     ).select("product_id", "product_category_name", "product_category_name_english", "product_category"),
     "agg_order_items": lambda w: w.items_agg,
     "agg_order_payments": lambda w: w.payments_agg,

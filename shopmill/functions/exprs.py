@@ -36,14 +36,25 @@ def missing_to_null(c: Column | str) -> Column:
     return F.when(~c.isin(*MISSING_MARKERS), c)
 
 
+def _visible_ends(c: Column) -> Column:
+    """True when the first and last character are visible ASCII: nothing to strip.
+
+    Two cheap comparisons that spare almost every value the character search.
+    """
+    last = F.right(c, F.lit(1))
+    return (c >= F.lit("!")) & (c < F.lit("\x7f")) & (last >= F.lit("!")) & (last < F.lit("\x7f"))
+
+
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind at both ends; NULL stays NULL."""
-    return F.btrim(col(c), F.lit(WHITESPACE))
+    c = col(c)
+    return F.when(_visible_ends(c), c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def strip_to_null(c: Column | str) -> Column:
     """Strip, and treat a text that was only white space as missing."""
-    return F.nullif(strip(c), F.lit(""))
+    c = col(c)
+    return F.when(_visible_ends(c), c).otherwise(F.nullif(F.btrim(c, F.lit(WHITESPACE)), F.lit("")))
 
 
 # --- typing: what cannot be parsed becomes NULL, never an error ---------------

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from shopmill.functions import exprs as X
+from shopmill.sources.lazy import LazyTables
 
 LIFECYCLE_TIMES = (
     "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
@@ -191,6 +192,7 @@ CLEANERS = {
 }
 
 
-def clean_all(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every raw table through its cleaner, in cleaning order."""
-    return {table: clean(raw[table]) for table, clean in CLEANERS.items()}
+def clean_all(raw: Mapping[str, DataFrame]) -> LazyTables:
+    """Every raw table through its cleaner, in cleaning order, planned on first use."""
+    return LazyTables({
+        table: (lambda table=table, clean=clean: clean(raw[table])) for table, clean in CLEANERS.items()})

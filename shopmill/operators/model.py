@@ -20,12 +20,18 @@ def product_category_fallback(df: DataFrame) -> DataFrame:
         "product_category", F.coalesce("product_category_name_english", "product_category_name"))
 
 
-def product_attributes(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """Product columns of the item fact; translated on the (small) product side."""
+def add_products(df: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
+    """Add product columns and the translated category, by product_id.
+
+    The two small tables are joined one after the other rather than with each other
+    first: Spark guesses the size of a join as the product of its sides, and would
+    then shuffle the items instead of broadcasting the products.
+    """
+    attributes = products.select(
+        "product_id", "product_category_name", "product_weight_g",
+        "product_length_cm", "product_height_cm", "product_width_cm")
     return (
-        products.select(
-            "product_id", "product_category_name", "product_weight_g",
-            "product_length_cm", "product_height_cm", "product_width_cm")
+        df.join(attributes, "product_id", "left")
         .join(translation, "product_category_name", "left")
         .transform(product_category_fallback)
     )
@@ -50,7 +56,7 @@ def fact_order_items(
     """Item fact; without `products` or `sellers` their columns are left out."""
     out = items
     if products is not None:
-        out = out.join(product_attributes(products, translation), "product_id", "left")
+        out = add_products(out, products, translation)
     if sellers is not None:
         seller = sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
         out = out.join(seller, "seller_id", "left")

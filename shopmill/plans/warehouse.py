@@ -25,8 +25,8 @@ class Warehouse:
     """Lazy views of one set of raw tables; `clean` may be given as stored tables."""
 
     def __init__(self, raw: Mapping[str, DataFrame], clean: Mapping[str, DataFrame] | None = None):
-        self.raw = dict(raw)
-        self.clean = dict(clean) if clean is not None else clean_all(raw)
+        self.raw = raw
+        self.clean = clean if clean is not None else clean_all(raw)
 
     # --- facts with the parts a query reads --------------------------------------
 
