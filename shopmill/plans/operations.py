@@ -193,20 +193,35 @@ def _weighted(column: Column | str) -> Column:
 
 
 def seller_delivery_performance(items: DataFrame, orders: DataFrame) -> DataFrame:
-    return (
-        _seller_orders(items, orders)
-        .groupBy("seller_id")
-        .agg(
-            F.max("seller_city").alias("seller_city"),
-            F.max("seller_state").alias("seller_state"),
-            F.count("order_id").alias("orders"),
-            (F.sum("revenue_units") / F.lit(100.0)).alias("revenue"),
-            _weighted(_if_delivered("delivery_days")).alias("average_delivery_days"),
-            _weighted(_if_delivered("delivery_delay_days")).alias("average_delivery_delay_days"),
-            _count(_LATE).alias("late_orders"),
-            _rate(_count(_LATE), _count(_KNOWN)).alias("late_delivery_rate"),
-            _weighted("average_review_score").alias("average_review_score"),
-        )
+    """One row per seller; sums per place first, so the large step is a hash aggregate.
+
+    A maximum of a text needs a sort-based aggregate: it is taken over the few
+    (seller, city, state) rows instead of over all pairs.
+    """
+    def parts(name: str, column: Column | str) -> list[Column]:
+        value = F.col(column) if isinstance(column, str) else column
+        return [F.sum(X.as_units(value) * F.col("n")).alias(f"{name}_units"),
+                F.sum(F.when(value.isNotNull(), F.col("n"))).alias(f"{name}_n")]
+
+    places = _seller_orders(items, orders).groupBy("seller_id", "seller_city", "seller_state").agg(
+        F.count("order_id").alias("orders"),
+        F.sum("revenue_units").alias("revenue_units"),
+        *parts("days", _if_delivered("delivery_days")),
+        *parts("delay", _if_delivered("delivery_delay_days")),
+        *parts("score", "average_review_score"),
+        _count(_LATE).alias("late"),
+        _count(_KNOWN).alias("known"),
+    )
+    return places.groupBy("seller_id").agg(
+        F.max("seller_city").alias("seller_city"),
+        F.max("seller_state").alias("seller_state"),
+        F.sum("orders").alias("orders"),
+        (F.sum("revenue_units") / F.lit(100.0)).alias("revenue"),
+        _mean_of("days_units", "days_n").alias("average_delivery_days"),
+        _mean_of("delay_units", "delay_n").alias("average_delivery_delay_days"),
+        F.sum("late").alias("late_orders"),
+        _rate(F.sum("late"), F.sum("known")).alias("late_delivery_rate"),
+        _mean_of("score_units", "score_n").alias("average_review_score"),
     )
 
 

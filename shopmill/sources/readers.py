@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from shopmill.functions import exprs as X
@@ -49,3 +49,24 @@ def read_raw_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str,
 def read_tables(spark: SparkSession, folder: str, names) -> dict[str, DataFrame]:
     """Stored parquet tables `folder/name`, lazily."""
     return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+
+
+def csv_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the CSV files in a folder, sorted; an empty folder is an error.
+
+    Only the listing is read, never the contents.
+    """
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+    paths = sorted(row["path"] for row in listing.select("path").collect())
+    if not paths:
+        raise FileNotFoundError(f"no CSV files in {folder}")
+    return paths
+
+
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with the columns of its header, all as text, missing-value spellings as NULL."""
+    raw = (
+        spark.read.option("header", True).option("multiLine", True)
+        .option("quote", '"').option("escape", '"').csv(path)
+    )
+    return raw.select(*[X.missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])

@@ -136,3 +136,27 @@ def test_catalog_tables(spark, model):
     listed = [t.name for t in spark.catalog.listTables()]
     assert "agg_order_reviews" in listed and spark.table("agg_order_reviews").count() == 1350
     spark.sql("DROP TABLE agg_order_reviews")
+
+
+def test_folder_inventory(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("x,y\n1,\n1,NA\n2,z\n")
+    (tmp_path / "a.csv").write_text("k\nv\n")
+    (tmp_path / "notes.txt").write_text("no table")
+    assert [tuple(r) for r in A.folder_inventory(spark, str(tmp_path)).collect()] == [
+        ("a", "a.csv", 1, 1, 0, 0, 0), ("b", "b.csv", 3, 2, 1, 2, 1)]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        A.folder_inventory(spark, str(tmp_path / "empty"))
+
+
+def test_catalog_report_names_missing_and_extra_tables(spark, model):
+    from shopmill.plans.warehouse import build_marts
+    tables = {**model, **build_marts(model)}
+    rows = {t: 1 for t in V.CATALOG_TABLES}
+    listed = [t for t in V.CATALOG_TABLES if t != "dim_date"] + ["scratch"]
+    report = {r["check"]: r for r in V.catalog_validation(tables, rows, listed).collect()}
+    assert len(report) == 32
+    assert report["Expected tables exist"].details == "Missing tables=['dim_date']"
+    assert report["No unexpected analytical tables"].status == "FAIL"
+    assert report["operations_summary row count"].status == "PASS"
+    assert report["fact_orders row count"].details == "Expected=1; Actual=1,500"
