@@ -25,6 +25,13 @@ from shopmill.sources import samples  # noqa: E402
 from shopmill.sources.scratch import scratch_folder  # noqa: E402
 from shopmill.sources.writers import export_marts, table_row_counts  # noqa: E402
 
+try:
+    from shopmill.llm import queries as corpus
+except ModuleNotFoundError as missing:  # the subpackage is optional
+    if not (missing.name or "").startswith(("shopmill.llm", "corpus_pipeline")):
+        raise
+    corpus = None
+
 SMOKE_FOLDER = "/root/testdata/sf0.001"
 
 class Sample(Warehouse):
@@ -281,8 +288,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **{name: over(query, True) for name, query in QUERIES.items()},
         **{name: over(query, False) for name, query in DUPLICATE_KEY_QUERIES.items()},
+        **(corpus.QUERIES if corpus else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries()
+    return oracle_queries() | (corpus.SQL if corpus else {})
