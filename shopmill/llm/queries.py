@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopmill.llm.decontaminate import find_leaks
+from shopmill.llm.licenses import scan
 from shopmill.llm.mixing import mix
+from shopmill.llm.pii import KINDS, find_spans, listed
 from shopmill.llm.quality import judge
+from shopmill.llm.sharding import shard
 from shopmill.llm.simhash import simhash_groups
 from shopmill.llm.tokens import token_file
 from shopmill.llm.unit_dedup import MIN_WORDS, repeated_units
@@ -39,6 +42,17 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_units(_table(spark, folder, "documents"))
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(_table(spark, folder, "documents"), own=["doc_id"]).select("own.doc_id", *[
+        "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+
+
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_spans(_table(spark, folder, "documents"), own=["doc_id"]).select(
+        "own.doc_id", *[F.size(f"base_{kind}").cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge(_table(spark, folder, "documents"), ["doc_id"]).select(
         "own.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -54,6 +68,12 @@ def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
         "own.doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(_table(spark, folder, "documents"), own=["doc_id"]).select(
+        "own.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,9 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_personal_data": op5_personal_data,
     "op6_quality": op6_quality,
     "op8_token_file": op8_token_file,
     "op9_mix": op9_mix,
+    "op10_shards": op10_shards,
     "pipeline": pipeline,
 }
 
