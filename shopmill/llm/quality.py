@@ -27,29 +27,35 @@ def _ratio(part: str, whole: str) -> Column:
     return F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
 def rule_votes() -> dict[str, Column]:
-    """Name of each rule and its vote: 1 good, -1 bad, 0 abstains."""
-    per_word = {name: _ratio(name, "n_words") for name in (
-        "word_chars", "n_symbols", "n_repeat_words", "n_enders", "n_shouts", "n_upper", "n_distinct", "n_bars")}
-    lines = _ratio("n_dup_lines", "n_lines")
-    enough = F.col("n_words") >= MIN_WORDS
-    return {
-        "length": _vote(enough, F.col("n_words") < 20),
-        "word_length": _vote(per_word["word_chars"].between(3, 9), ~per_word["word_chars"].between(2.5, 11)),
-        "symbols": _vote(per_word["n_symbols"] < 0.02, per_word["n_symbols"] > 0.1),
-        "repeated_lines": F.when(F.col("n_lines") >= 3, _vote(lines < 0.1, lines > 0.3)).otherwise(0),
-        "repeated_words": _vote(per_word["n_repeat_words"] < 0.15, per_word["n_repeat_words"] > 0.3),
-        "distinct_words": F.when(enough, _vote(
-            F.col("n_distinct") > 2 * F.sqrt("n_words"), F.col("n_distinct") < F.sqrt("n_words"))).otherwise(0),
-        "sentences": F.when(enough, _vote(per_word["n_enders"] > 0.02, per_word["n_enders"] < 0.005)).otherwise(0),
-        "shouting": _vote(per_word["n_shouts"] < 0.02, per_word["n_shouts"] > 0.1),
-        "upper_case": _vote(per_word["n_upper"] < 0.5, per_word["n_upper"] > 2),
-        "tables": _vote(per_word["n_bars"] < 0.02, per_word["n_bars"] > 0.1),
+    """Name of each rule and its vote: 1 good, -1 bad, 0 abstains.
+
+    A rule votes against a text beyond its strict bound and abstains otherwise: that a text
+    passes one rule says little, and passing rules would outvote a failing one together.
+    Only ``in_range`` votes for a text, where no measure is beyond its lenient bound, and
+    against it where several are.
+    """
+    def per_word(name: str) -> Column:
+        return _ratio(name, "n_words")
+
+    length, lines, marks = per_word("word_chars"), _ratio("n_dup_lines", "n_lines"), _ratio("n_marks", "word_chars")
+    spread = F.col("n_distinct") / F.sqrt(F.greatest("n_words", F.lit(1)))
+    rules = {  # beyond the strict bound, beyond the lenient one
+        "length": (F.col("n_words") < MIN_WORDS, F.col("n_words") < MIN_WORDS),
+        "word_length": (~length.between(2.5, 11), ~length.between(3, 9)),
+        "symbols": (per_word("n_symbols") > 0.1, per_word("n_symbols") > 0.05),
+        "marks": (marks > 0.15, marks > 0.1),
+        "repeated_lines": (lines > 0.45, lines > 0.3),
+        "repeated_words": (per_word("n_repeat_words") > 0.45, per_word("n_repeat_words") > 0.35),
+        "distinct_words": (spread < 1, spread < 1.5),
+        "sentences": (per_word("n_enders") < 0.005, per_word("n_enders") < 0.01),
+        "shouting": (per_word("n_shouts") > 0.1, per_word("n_shouts") > 0.05),
+        "upper_case": (per_word("n_upper") > 2, per_word("n_upper") > 1),
+        "tables": (per_word("n_bars") > 0.1, per_word("n_bars") > 0.05),
     }
+    lenient = sum((F.when(beyond, 1).otherwise(0) for _, beyond in rules.values()), F.lit(0))
+    votes = {name: F.when(beyond, -1).otherwise(0) for name, (beyond, _) in rules.items()}
+    return {**votes, "in_range": F.when(lenient == 0, 1).when(lenient > 1, -1).otherwise(0)}
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -87,6 +93,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         _left(F.col("text"), "!+").alias("n_shouts"),
         _left(F.col("text"), "[A-Z]+").alias("n_upper"),
         _left(F.col("text"), "[|]+").alias("n_bars"),
+        _left(F.col("text"), r"[^\p{L}\p{M}\x20\x09-\x0D]+").alias("n_marks"),
     ).alias("measures")).select("row.*", "measures")
 
 
