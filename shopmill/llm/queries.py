@@ -13,6 +13,7 @@ from shopmill.llm.pii import KINDS, find_spans, listed
 from shopmill.llm.quality import judge
 from shopmill.llm.sharding import shard
 from shopmill.llm.simhash import simhash_groups
+from shopmill.llm.suffixes import remove_repeats
 from shopmill.llm.tokens import token_file
 from shopmill.llm.unit_dedup import MIN_WORDS, repeated_units
 
@@ -59,6 +60,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept", "quality")
 
 
+def op7_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return token_file(_table(spark, folder, "documents"), tokenizer_path())
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_personal_data": op5_personal_data,
     "op6_quality": op6_quality,
+    "op7_repeated_bytes": op7_repeated_bytes,
     "op8_token_file": op8_token_file,
     "op9_mix": op9_mix,
     "op10_shards": op10_shards,
