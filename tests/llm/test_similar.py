@@ -1,0 +1,240 @@
+"""SimHash groups, decontamination and line dedup against brute force and on odd input."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from shopmill.llm import decontaminate as D, simhash as S, unit_dedup as U
+from shopmill.llm.links import block_links, components, spanning_links
+
+WORDS = [f"w{k}" for k in range(400)]
+ODD = [(1, None, "a"), (2, "", None), (3, " \n\t ", "a"), (None, "one two three four five six", "b"),
+       (5, "Tie tie TIE tie", "b"), (5, "Tie tie TIE tie", "b"), (7, "x" * 50_000 + " " + "lang " * 3000, "c")]
+
+
+def sentence(seed, n):
+    return " ".join(random.Random(seed).choices(WORDS, k=n))
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(
+        [(*row, 0, "clash") for row in ODD], "doc_id long, text string, source string, print int, component string")
+
+
+def by_hand(text, width):
+    words = (text or "").encode().lower().split()
+    runs = [b" ".join(words[k:k + width]) for k in range(max(len(words) - width + 1, 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups_by_hand(prints, limit):
+    """Smallest id reachable for rows (id, print)."""
+    least = {i: i for i, _ in prints}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+    for a, x in prints:
+        for b, y in prints:
+            if bin(x ^ y).count("1") <= limit:
+                low, high = sorted((root(a), root(b)))
+                least[high] = low
+    return {i: root(i) for i, _ in prints}
+
+
+def test_fingerprints_and_groups_match_brute_force(spark):
+    texts = [sentence(k // 3, 60 + k // 3) + (" extra" if k % 3 == 1 else "") for k in range(60)]
+    texts += ["a b", "A B", "", None, "a", "a b c"]
+    docs = spark.createDataFrame([(k * 7 + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in S.simhash_groups(docs, width=3).collect()}
+    prints = [(k * 7 + 1, by_hand(t, 3)) for k, t in enumerate(texts)]
+    assert {i: r["print"] % 2**64 for i, r in got.items()} == dict(prints)
+    assert {i: r["component_id"] for i, r in got.items()} == groups_by_hand(prints, 3)
+
+
+def test_no_pair_within_three_bits_is_lost(spark):
+    rng = random.Random(5)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for p in list(prints):
+        for bits in (1, 2, 3, 4):
+            prints.add(p ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    rows = [(k, p) for k, p in enumerate(sorted(prints))]
+    df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for _, p in rows], "print long")
+    linked = {r["print"] % 2**64: r["component"] for r in S.near_fingerprints(df).collect()}
+    expected = groups_by_hand(rows, 3)
+    same = {}
+    for k, p in rows:
+        same.setdefault(expected[k], set()).add(linked.get(p, ("alone", p)))
+    assert all(len(s) == 1 for s in same.values())
+    assert len({next(iter(s)) for s in same.values()}) == len(same)
+
+
+def test_large_blocks_are_cut_without_losing_links(spark):
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(2**62))
+    prints = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (300, 2))})
+    rows = spark.createDataFrame([(0, p, [p]) for p in prints], "key int, node long, print array<long>")
+    small = {tuple(r) for r in components(block_links(rows, 2, 1)).collect()}
+    large = {tuple(r) for r in components(block_links(rows, 2, 1, chunk=20)).collect()}
+    assert small == large
+
+
+def test_spanning_links_span():
+    prints = np.array([[0], [1], [3], [255], [7]], np.uint64)
+    a, b = spanning_links(prints, 1)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset(p) for p in ((0, 1), (1, 2), (2, 4))}
+    assert not len(spanning_links(prints[:1], 3)[0])
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 101)], "a long, b long")
+    found = {r["node"]: r["component"] for r in components(links).collect()}
+    assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def test_near_duplicates_at_similarity(spark):
+    texts, expected = [], set()
+    for k in range(40):
+        words = sentence(k, 300).split()
+        texts.append((10 * k, " ".join(words)))
+        changed = list(words)
+        changed[50] = "changed"
+        texts.append((10 * k + 1, " ".join(changed)))  # similarity 0.97
+        expected.add(10 * k + 1)
+        far = list(words)
+        for at in range(0, 300, 12):
+            far[at] = f"far{at}"
+        texts.append((10 * k + 2, " ".join(far)))  # similarity below 0.5
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = {r["doc_id"] for r in S.keep_one(docs).collect()}
+    assert {i for i, _ in texts} - kept == expected
+
+
+def test_odd_rows(spark, odd):
+    got = S.simhash_groups(odd).collect()
+    assert len(got) == len(ODD)
+    empty = [r["component_id"] for r in got if r["print"] == 0]
+    assert empty == [1, 1, 1]
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+    kept = S.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 5, 5, 7]
+    nothing = odd.limit(0)
+    assert S.simhash_groups(nothing).count() == 0 and S.keep_one(nothing).count() == 0
+
+
+# -- decontamination ----------------------------------------------------------------------
+
+def edits(pattern, text):
+    """Fewest edits of pattern against any substring of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        fresh = [i]
+        for j, d in enumerate(text, 1):
+            fresh.append(min(row[j - 1] + (c != d), row[j] + 1, fresh[-1] + 1))
+        row = fresh
+    return min(row)
+
+
+def test_alignment_matches_full_matrix():
+    rng = random.Random(3)
+    for _ in range(60):
+        pattern = "".join(rng.choices("abcd", k=30))
+        text = list(pattern)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(text))
+            text[at:at + 1] = rng.choice([[], ["x"], [text[at], "y"]])
+        text = "zz" + "".join(text) + "qq"
+        p, t = (np.frombuffer(s.encode(), np.uint8) for s in (pattern, text))
+        assert D.align(p, t, -len(p), len(t))[0] == edits(pattern, text)
+
+
+def test_leaks_within_the_budget_are_found_and_others_not(spark):
+    items = [(k, sentence(1000 + k, 40 + k)) for k in range(12)]
+    rng, rows, expected = random.Random(8), [], set()
+    for k in range(60):
+        item, passage = items[k % 12]
+        chars = list(passage)
+        share = [0, 0.02, 0.04, 0.5][k % 4]
+        for at in rng.sample(range(len(chars)), int(len(chars) * share)):
+            chars[at] = rng.choice(["", "Z", chars[at] + "z"])
+        text = sentence(2000 + k, 80) + "\n" + "".join(chars).upper() + "; " + sentence(3000 + k, 30)
+        rows.append((k, text if k % 5 else sentence(4000 + k, 100)))
+        if k % 5 and share < 0.1:
+            expected.add((k, item))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (90, None), (91, "short")], "item_id long, text string")
+    found = D.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected
+    texts = dict(rows)
+    whole = [r for r in found if r["edits"] == 0]
+    assert whole
+    for r in whole:
+        assert texts[r["doc_id"]][r["start"]:r["end"]].lower() == dict(items)[r["item_id"]]
+    kept = {r["doc_id"] for r in D.decontaminate(docs, bench).collect()}
+    assert kept == {k for k, _ in rows} - {d for d, _ in expected}
+
+
+def test_offsets_beyond_ascii_and_over_segments(monkeypatch):
+    index = D.build_index([(1, "äöü the quick brown fox jumps over the lazy dog ß")])
+    text = "é" * 300 + ". ÄÖÜ the Quick, brown fox jumps over the lazy dog ß! " + "日本" * 40
+    monkeypatch.setattr(D, "SEGMENT", 64)
+    (item, start, end, k), = D.leaks(index, text)
+    assert (item, k) == (1, 0) and text[start:end] == "ÄÖÜ the Quick, brown fox jumps over the lazy dog ß"
+
+
+def test_large_benchmark_takes_several_passes(spark, monkeypatch):
+    items = [(k, sentence(k, 30)) for k in range(6)]
+    docs = spark.createDataFrame([(k, f"x {t} y") for k, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    once = sorted(map(tuple, D.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(D, "PART_CHARS", 200)
+    assert sorted(map(tuple, D.find_leaks(docs, bench).collect())) == once and len(once) == 6
+
+
+def test_decontamination_of_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "lang " * 12), (None, "lang " * 12)], "item_id long, text string")
+    assert {r["doc_id"] for r in D.find_leaks(odd, bench).collect()} == {7}
+    assert D.decontaminate(odd, bench).columns == odd.columns
+    assert D.find_leaks(odd, bench.limit(0)).count() == 0 and D.find_leaks(odd.limit(0), bench).count() == 0
+
+
+# -- lines --------------------------------------------------------------------------------
+
+def test_lines_match_brute_force(spark):
+    rng = random.Random(2)
+    pool = [sentence(k, 9 + k % 5) for k in range(30)] + ["short line", ""]
+    rows = [(k, "\n".join(rng.choices(pool, k=6)).replace(" ", rng.choice([" ", "  "]))) for k in range(40)]
+    seen, expected = {}, []
+    for doc, text in rows:
+        at = 0
+        for unit, line in enumerate(text.split("\n")):
+            key = " ".join(line.split())
+            if len(key.split()) >= U.MIN_WORDS:
+                if key in seen:
+                    expected.append((doc, unit, at, at + len(line), *seen[key]))
+                seen.setdefault(key, (doc, unit))
+            at += len(line) + 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = U.repeated_units(docs)
+    assert sorted(tuple(r)[:6] for r in removed.collect()) == sorted(expected)
+    gone = {(d, u) for d, u, *_ in expected}
+    for r in U.remove_units(docs, removed).collect():
+        text = dict(rows)[r["doc_id"]]
+        stay = [line for u, line in enumerate(text.split("\n")) if (r["doc_id"], u) not in gone]
+        assert r["text"] == "\n".join(stay)
+        assert [text[s["start"]:s["end"]] for s in r["kept"]] == stay
+
+
+def test_lines_of_odd_rows(spark, odd):
+    assert U.repeated_units(odd).count() == 0
+    line = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(None, line), (1, line), (1, line), (2, None)], "doc_id long, text string")
+    removed = U.repeated_units(docs)
+    assert sorted((r["doc_id"], r["kept_doc_id"]) for r in removed.collect()) == [(1, None), (1, None)]
+    assert U.repeated_units(docs.limit(0)).count() == 0
