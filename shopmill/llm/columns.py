@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -12,6 +14,14 @@ def white_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and wherever ``body`` reads it.
+
+    Inside the function of an array operation, an expression is computed anew for every element.
+    """
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def total(values: Column, kind: str = "long") -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x)
 
@@ -29,10 +39,13 @@ def sums_before(values: Column, block: int = 64) -> Column:
             lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")),
             lambda a: a["out"])
 
-    size = F.size(values)
-    blocks = F.when(size > 0, F.transform(
-        F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int")),
-        lambda k: F.slice(values, k * block + 1, block))).otherwise(F.array().cast("array<array<bigint>>"))
-    starts = before(F.transform(blocks, lambda b: total(b)), F.lit(0).cast("long"))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("s")),
-                                 lambda z: before(z["b"], z["s"])))
+    def in_blocks(xs: Column) -> Column:
+        size = F.size(xs)
+        blocks = F.when(size > 0, F.transform(
+            F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int")),
+            lambda k: F.slice(xs, k * block + 1, block))).otherwise(F.array().cast("array<array<bigint>>"))
+        return let(blocks, lambda bs: F.flatten(F.transform(
+            F.arrays_zip(bs.alias("b"), before(F.transform(bs, lambda b: total(b)), F.lit(0).cast("long")).alias("s")),
+            lambda z: before(z["b"], z["s"]))))
+
+    return let(values, in_blocks)

@@ -25,7 +25,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopmill.llm import weak
-from shopmill.llm.columns import sums_before, total
+from shopmill.llm.columns import let, sums_before, total
 from shopmill.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -78,17 +78,22 @@ def _masked(text: Column, kind: str) -> Column:
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (s, e, m, before, after): leftmost matches that do not overlap."""
-    gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.transform(found, lambda m, k: F.struct(
-        m.alias("m"), F.get(gaps, k).alias("gap"), F.get(gaps, k + 1).alias("next")))
-    starts = sums_before(F.transform(zipped, lambda z: (F.length(z["gap"]) + F.length(z["m"])).cast("long")))
-    return F.transform(F.arrays_zip(zipped.alias("z"), starts.alias("s")), lambda x: F.struct(
-        (x["s"] + F.length(x["z"]["gap"])).alias("s"),
-        (x["s"] + F.length(x["z"]["gap"]) + F.length(x["z"]["m"])).alias("e"),
-        F.translate(x["z"]["m"], "\x01", ".").alias("m"),
-        F.substring(x["z"]["gap"], -CONTEXT, CONTEXT).alias("before"),
-        F.substring(x["z"]["next"], 1, 1).alias("after")))
+
+    def placed(zipped: Column) -> Column:
+        starts = sums_before(F.transform(zipped, lambda z: (F.length(z["gap"]) + F.length(z["m"])).cast("long")))
+        return F.transform(F.arrays_zip(zipped.alias("z"), starts.alias("s")), lambda x: F.struct(
+            (x["s"] + F.length(x["z"]["gap"])).alias("s"),
+            (x["s"] + F.length(x["z"]["gap"]) + F.length(x["z"]["m"])).alias("e"),
+            F.translate(x["z"]["m"], "\x01", ".").alias("m"),
+            F.substring(x["z"]["gap"], -CONTEXT, CONTEXT).alias("before"),
+            F.substring(x["z"]["next"], 1, 1).alias("after")))
+
+    def with_gaps(gaps: Column) -> Column:
+        return let(F.transform(found, lambda m, k: F.struct(
+            m.alias("m"), F.get(gaps, k).alias("gap"), F.get(gaps, k + 1).alias("next"))), placed)
+
+    return let(F.split(text, pattern, -1), with_gaps)
 
 
 def _digits(text: Column) -> Column:

@@ -17,9 +17,9 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from shopmill.llm.columns import sums_before
+from shopmill.llm.columns import let, sums_before
 from shopmill.sources.scratch import materialize
 
 MIN_WORDS = 8
@@ -71,15 +71,19 @@ def remove_units(docs: DataFrame, removed: DataFrame, id: str = "doc_id", text:
     in offsets of the text as it was.  Lines that are left are joined by one line break."""
     spans = removed.groupBy(F.col(id).alias("__id")).agg(F.sort_array(F.collect_list("unit")).alias("__gone"))
     joined = docs.join(spans, docs[id].eqNullSafe(spans["__id"]), "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    stays = F.filter(lines, lambda line, k: ~F.coalesce(F.array_contains("__gone", k.cast("long")), F.lit(False)))
-    numbers = F.filter(F.transform(lines, lambda line, k: k), lambda k: ~F.coalesce(
-        F.array_contains("__gone", k.cast("long")), F.lit(False)))
     rest = [c for c in docs.columns if c != text]
-    starts = sums_before(F.transform(lines, lambda line: (F.length(line) + 1).cast("long")))
-    kept = F.transform(numbers, lambda k: F.struct(
-        F.get(starts, k).alias("start"), (F.get(starts, k) + F.length(F.get(lines, k))).alias("end")))
+
+    def left(lines: Column) -> Column:
+        """(line, start, end) of the lines that stay."""
+        starts = sums_before(F.transform(lines, lambda line: (F.length(line) + 1).cast("long")))
+        placed = F.transform(F.arrays_zip(lines.alias("line"), starts.alias("start")), lambda x, k: F.struct(
+            x["line"], x["start"], (x["start"] + F.length(x["line"])).alias("end"), k.cast("long").alias("unit")))
+        return F.filter(placed, lambda x: ~F.coalesce(F.array_contains("__gone", x["unit"]), F.lit(False)))
+
+    joined = joined.withColumn("__left", let(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), left))
+    lines = F.transform("__left", lambda x: x["line"])
+    kept = F.transform("__left", lambda x: F.struct(x["start"], x["end"]))
     return joined.select(
         *[docs[c] for c in rest],
-        F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")).alias(text),
+        F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")).alias(text),
         kept.alias("kept"))
