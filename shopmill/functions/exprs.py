@@ -104,17 +104,25 @@ def safe_percentage(part: Column | str, total: Column | str) -> Column:
 
 
 # --- exact sums and means -------------------------------------------------------
-# Values with a fixed number of digits are summed as whole numbers.  The result
-# does not depend on the order in which tasks deliver their partial sums, and the
-# aggregation buffer is a plain long.
+# Values with a fixed number of digits are summed as whole numbers in decimals, so
+# the result does not depend on the order in which tasks deliver their partial
+# sums and no sum overflows.  Amounts from MONEY_LIMIT on do not fit; they are left
+# out of sums, and `numeric_quality` reports them as failures.
+
+MONEY_LIMIT = 1e15
+
 
 def as_units(c: Column | str, digits: int = 2) -> Column:
-    return F.rint(col(c) * F.lit(float(10 ** digits))).cast("bigint")
+    return F.rint(col(c) * F.lit(float(10 ** digits))).try_cast("decimal(28,0)")
+
+
+def unusable_amount(c: Column) -> Column:
+    return (c < 0) | (c >= F.lit(MONEY_LIMIT))
 
 
 def exact_sum(c: Column | str, digits: int = 2) -> Column:
     """Sum over the non-NULL values, NULL when there are none."""
-    return F.sum(as_units(c, digits)) / F.lit(float(10 ** digits))
+    return F.sum(as_units(c, digits)).cast("double") / F.lit(float(10 ** digits))
 
 
 def exact_mean(c: Column | str, digits: int = 2) -> Column:
@@ -126,7 +134,7 @@ def exact_mean(c: Column | str, digits: int = 2) -> Column:
 def exact_weighted_mean(c: Column | str, weight: Column | str, digits: int = 2) -> Column:
     """Mean of the non-NULL values, each counted `weight` times."""
     c, w = col(c), col(weight)
-    total = F.sum(as_units(c, digits) * w) / F.lit(float(10 ** digits))
+    total = F.sum(as_units(c, digits) * w).cast("double") / F.lit(float(10 ** digits))
     return total / F.sum(F.when(c.isNotNull(), w)).cast("double")
 
 

@@ -95,7 +95,8 @@ def agg_order_payments(payments: DataFrame) -> DataFrame:
         .groupBy("order_id")
         .agg(
             F.count("payment_sequential").alias("payment_count"),
-            F.coalesce(X.exact_sum("payment_value"), F.lit(0.0)).alias("total_payment_value"),
+            # Payments are not rounded when cleaned: the sum is, once.
+            F.coalesce(X.round_half_even(X.exact_sum("payment_value", 8), 2), F.lit(0.0)).alias("total_payment_value"),
             F.max("payment_installments").alias("max_payment_installments"),
             payment_types().alias("payment_types"),
         )

@@ -50,13 +50,13 @@ def _with_median_support(orders: DataFrame, keys: list[str], extra: list[Column]
 
 
 def _mean_of(units: str, n: str) -> Column:
-    mean = F.sum(units) / F.lit(100.0) / F.nullif(F.sum(n), F.lit(0)).cast("double")
+    mean = F.sum(units).cast("double") / F.lit(100.0) / F.nullif(F.sum(n), F.lit(0)).cast("double")
     return X.round_half_away(mean, 2)
 
 
 def _mean_days() -> Column:
     total = F.sum(F.col("days_units") * F.col("days_n"))
-    return X.round_half_away(total / F.lit(100.0) / F.sum("days_n").cast("double"), 2)
+    return X.round_half_away(total.cast("double") / F.lit(100.0) / F.sum("days_n").cast("double"), 2)
 
 
 def _median_days() -> Column:
@@ -112,7 +112,7 @@ def customer_state_operations(orders: DataFrame) -> DataFrame:
         .agg(
             F.sum("orders").alias("orders"),
             F.sum("delivered").alias("delivered_orders"),
-            (F.sum("revenue_units") / F.lit(100.0)).alias("revenue"),
+            (F.sum("revenue_units").cast("double") / F.lit(100.0)).alias("revenue"),
             _mean_days().alias("average_delivery_days"),
             _median_days().alias("median_delivery_days"),
             _mean_of("delay_units", "delay_n").alias("average_delivery_delay_days"),
@@ -216,7 +216,7 @@ def seller_delivery_performance(items: DataFrame, orders: DataFrame) -> DataFram
         F.max("seller_city").alias("seller_city"),
         F.max("seller_state").alias("seller_state"),
         F.sum("orders").alias("orders"),
-        (F.sum("revenue_units") / F.lit(100.0)).alias("revenue"),
+        (F.sum("revenue_units").cast("double") / F.lit(100.0)).alias("revenue"),
         _mean_of("days_units", "days_n").alias("average_delivery_days"),
         _mean_of("delay_units", "delay_n").alias("average_delivery_delay_days"),
         F.sum("late").alias("late_orders"),
@@ -234,8 +234,8 @@ def seller_state_operations(items: DataFrame, orders: DataFrame) -> DataFrame:
         .agg(
             F.count_distinct("seller_id").alias("sellers"),
             F.count_distinct("order_id").alias("orders"),
-            (F.sum("revenue_units") / F.lit(100.0)).alias("revenue"),
-            (F.sum("freight_units") / F.lit(100.0)).alias("freight"),
+            (F.sum("revenue_units").cast("double") / F.lit(100.0)).alias("revenue"),
+            (F.sum("freight_units").cast("double") / F.lit(100.0)).alias("freight"),
             _weighted(_if_delivered("delivery_days")).alias("average_delivery_days"),
             late.alias("late_orders"),
             _rate(late, known).alias("late_delivery_rate"),

@@ -132,14 +132,14 @@ def fk_quality(raw: Tables) -> DataFrame:
 def numeric_quality(raw: Tables) -> DataFrame:
     items = raw["order_items"].agg(
         F.count(F.lit(1)).alias("items"),
-        F.count_if(X.to_number("price") < 0).alias("price"),
-        F.count_if(X.to_number("freight_value") < 0).alias("freight"),
+        F.count_if(X.unusable_amount(X.to_number("price"))).alias("price"),
+        F.count_if(X.unusable_amount(X.to_number("freight_value"))).alias("freight"),
     )
     # Payments are reduced to their few distinct installment numbers first.
     payments = (
         raw["payments"]
         .groupBy(X.to_whole("payment_installments").alias("plan"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(X.to_number("payment_value") < 0).alias("negative"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(X.unusable_amount(X.to_number("payment_value"))).alias("negative"))
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("payments"),
             F.coalesce(F.sum("negative"), F.lit(0)).alias("value"),
