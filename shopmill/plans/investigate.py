@@ -14,6 +14,7 @@ from shopmill.plans.checks import one_row, row_count, union_all
 from shopmill.plans.quality import DATE_RULES
 
 ITEM_KEY = ("order_id", "order_item_id")
+# The columns that make two item rows the same item.
 ITEM_IDENTITY = (
     "order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price", "freight_value")
 

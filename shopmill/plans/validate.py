@@ -84,7 +84,7 @@ def _rows(df_or_count: DataFrame | int, name: str, like: DataFrame) -> DataFrame
 def processed_tables_exist(measured: DataFrame, listed: Collection[str]) -> DataFrame:
     """`listed`: the cleaned tables that exist; `measured`: any one-row frame."""
     missing = [t for t in CLEANERS if t not in listed]
-    details = f"Missing files: {missing}" if missing else "All expected processed datasets exist."
+    details = f"Not there: {missing}" if missing else "All there."
     return check_rows(measured, [Check(
         "Processed dataset availability", verdict(F.lit(not missing)), F.lit(details), F.lit(len(missing)),
     )], COUNT)
@@ -165,14 +165,14 @@ def delivery_metric_consistency(clean: Tables) -> DataFrame:
         sum(flags[1:], flags[0]).alias("unset"),
     )
     return check_rows(measures, [
-        _zero("orders.delivery_days >= 0", "negative", "Negative delivery durations=", "REVIEW"),
-        _zero("orders.estimated_delivery_days >= 0", "negative_estimate", "Negative estimated durations="),
-        _zero("orders.is_late consistency", "late", "Rows with is_late populated but delivery_delay_days missing="),
+        _zero("orders.delivery_days >= 0", "negative", "Deliveries before the purchase=", "REVIEW"),
+        _zero("orders.estimated_delivery_days >= 0", "negative_estimate", "Estimates before the purchase="),
+        _zero("orders.is_late consistency", "late", "Late or not without a delay="),
         Check(
             "orders data-quality flags generated",
             verdict(_c("unset") == 0),
-            F.when(_c("unset") == 0, "Lifecycle anomaly flags are present.")
-            .otherwise(X.text("Missing lifecycle anomaly flags=", _c("unset"))),
+            F.when(_c("unset") == 0, "Every flag is set.")
+            .otherwise(X.text("Flags not set=", _c("unset"))),
             _c("unset"),
         ),
     ], COUNT)
@@ -233,7 +233,7 @@ def _grain_holds(table: str) -> Column:
 
 def _grain_checks() -> list[Check]:
     return [
-        Check(f"{t} grain", verdict(_grain_holds(t)), F.lit("Expected analytical grain preserved"))
+        Check(f"{t} grain", verdict(_grain_holds(t)), F.lit("Key is unique and complete"))
         for t in GRAINS]
 
 
@@ -272,24 +272,24 @@ def model_validation(model: Tables, expected_rows: Mapping[str, DataFrame | int]
     return check_rows(measures, [
         Check("fact_order_items row count", verdict(_c("fact_order_items_rows") == _c("expected_items")),
               X.text("Rows=", number("fact_order_items_rows"))),
-        unique("fact_order_items", "business key", "order_id + order_item_id remains unique"),
-        unique("agg_order_items", "unique order_id", "One row per order"),
+        unique("fact_order_items", "business key", "No item key twice"),
+        unique("agg_order_items", "unique order_id", "No order twice"),
         Check("order item count preserved", verdict(_c("agg_item_count") == _c("fact_order_items_rows")),
-              X.text("Aggregated items=", number("agg_item_count"),
-                     "; detail rows=", number("fact_order_items_rows"))),
-        unique("agg_order_payments", "unique order_id", "One row per order"),
-        unique("agg_order_reviews", "unique order_id", "One row per order"),
+              X.text("Items summed up=", number("agg_item_count"),
+                     "; items=", number("fact_order_items_rows"))),
+        unique("agg_order_payments", "unique order_id", "No order twice"),
+        unique("agg_order_reviews", "unique order_id", "No order twice"),
         Check("fact_orders row count", verdict(_c("fact_orders_rows") == _c("expected_orders")),
               X.text("Rows=", number("fact_orders_rows"))),
-        unique("fact_orders", "unique order_id", "One row per order"),
-        unique("dim_customers", "unique customer_unique_id", "One row per actual customer identity"),
+        unique("fact_orders", "unique order_id", "No order twice"),
+        unique("dim_customers", "unique customer_unique_id", "No person twice"),
         Check("product revenue reconciliation", verdict(_close("detail_revenue", "agg_revenue")),
               _money_text("detail_revenue", "agg_revenue")),
         Check("freight reconciliation", verdict(_close("detail_freight", "agg_freight")),
               _money_text("detail_freight", "agg_freight")),
         Check("orders with items represented", verdict(_c("with_items") == _c("agg_order_items_rows")),
-              X.text("Orders with items=", number("with_items"),
-                     "; aggregated item orders=", number("agg_order_items_rows"))),
+              X.text("Orders that have items=", number("with_items"),
+                     "; orders among the items=", number("agg_order_items_rows"))),
     ])
 
 
@@ -325,7 +325,7 @@ def catalog_validation(
         Check("Freight reconciliation", verdict(_c("detail_freight") == _c("agg_freight")),
               _money_text("detail_freight", "agg_freight")),
         Check("Orders with items relationship", verdict(_c("with_items") == _c("actual_agg_order_items")),
-              X.text("Orders with items=", number("with_items"),
+              X.text("Orders that have items=", number("with_items"),
                      "; Aggregated item orders=", number("actual_agg_order_items"))),
     ])
 
