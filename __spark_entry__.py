@@ -178,13 +178,13 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "rfm_segment_summary": lambda w: R.rfm_segment_summary(R.customer_rfm(w.dim_customers)),
     # products and sellers
     "category_performance": lambda w: P.category_performance(w.items(products=True)),
-    "product_performance": lambda w: P.product_performance(w.items(products=True)),
-    "seller_performance": lambda w: P.seller_performance(w.items(sellers=True)),
+    "product_performance": lambda w: P.product_performance(w.items(), w.with_products),
+    "seller_performance": lambda w: P.seller_performance(w.items(), w.with_sellers),
     "seller_category_performance": lambda w: P.seller_category_performance(w.items(products=True, sellers=True)),
     "seller_state_performance": lambda w: P.seller_state_performance(w.items(sellers=True)),
     "top_categories": lambda w: P.top_categories(P.category_performance(w.items(products=True))),
-    "top_products": lambda w: P.top_products(P.product_performance(w.items(products=True))),
-    "top_sellers": lambda w: P.top_sellers(P.seller_performance(w.items(sellers=True))),
+    "top_products": lambda w: P.top_products(P.product_performance(w.items(), w.with_products)),
+    "top_sellers": lambda w: P.top_sellers(P.seller_performance(w.items(), w.with_sellers)),
     # operations
     "operations_summary": lambda w: O.operations_summary(w.orders()),
     "monthly_operations": lambda w: O.monthly_operations(w.orders()),
@@ -194,7 +194,7 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "review_score_distribution": lambda w: O.review_score_distribution(w.orders(reviews=True)),
     "category_operations": lambda w: O.category_operations(w.items(products=True)),
     "seller_delivery_performance": lambda w: O.seller_delivery_performance(
-        w.items(sellers=True), w.orders(reviews=True)),
+        w.items(), w.orders(reviews=True), w.with_sellers),
     "seller_state_operations": lambda w: O.seller_state_operations(w.items(sellers=True), w.orders()),
     "top_customer_states": lambda w: O.top_customer_states(
         O.customer_state_operations(w.orders(customers=True, items=True, reviews=True))),

@@ -37,6 +37,12 @@ def add_products(df: DataFrame, products: DataFrame, translation: DataFrame) ->
     )
 
 
+def add_sellers(df: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Add seller columns, by seller_id."""
+    return df.join(
+        sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"), "seller_id", "left")
+
+
 def item_measures(items: DataFrame) -> DataFrame:
     revenue = X.round_half_even("price", 2)
     freight = X.round_half_even("freight_value", 2)
@@ -58,8 +64,7 @@ def fact_order_items(
     if products is not None:
         out = add_products(out, products, translation)
     if sellers is not None:
-        seller = sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
-        out = out.join(seller, "seller_id", "left")
+        out = add_sellers(out, sellers)
     return item_measures(out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopmill.functions import exprs as X
@@ -170,14 +172,17 @@ def category_operations(items: DataFrame) -> DataFrame:
 
 # --- seller marts: items joined with their orders --------------------------------------
 
-def _seller_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
+SELLER_PLACE = ["seller_city", "seller_state"]
+
+
+def _seller_orders(items: DataFrame, orders: DataFrame, attributes: list[str]) -> DataFrame:
     """One row per seller and order, carrying the number of items it stands for.
 
     Reducing the items before the join keeps an order with very many items from
     filling one join task, and makes 'distinct orders' a plain row count.  Means
     stay at item grain by weighting with `n`.
     """
-    pairs = items.groupBy("seller_id", "seller_city", "seller_state", "order_id").agg(
+    pairs = items.groupBy("seller_id", *attributes, "order_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(X.as_units("item_revenue")).alias("revenue_units"),
         F.sum(X.as_units("item_freight")).alias("freight_units"),
@@ -192,18 +197,22 @@ def _weighted(column: Column | str) -> Column:
     return X.round_half_away(X.exact_weighted_mean(column, "n"), 2)
 
 
-def seller_delivery_performance(items: DataFrame, orders: DataFrame) -> DataFrame:
+def seller_delivery_performance(
+    items: DataFrame, orders: DataFrame, attach: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row per seller; sums per place first, so the large step is a hash aggregate.
 
     A maximum of a text needs a sort-based aggregate: it is taken over the few
-    (seller, city, state) rows instead of over all pairs.
+    (seller, city, state) rows instead of over all pairs.  `attach` adds the place
+    to rows with a seller_id; without it the items hold it already.
     """
+    attributes = SELLER_PLACE if attach is None else []
     def parts(name: str, column: Column | str) -> list[Column]:
         value = F.col(column) if isinstance(column, str) else column
         return [F.sum(X.as_units(value) * F.col("n")).alias(f"{name}_units"),
                 F.sum(F.when(value.isNotNull(), F.col("n"))).alias(f"{name}_n")]
 
-    places = _seller_orders(items, orders).groupBy("seller_id", "seller_city", "seller_state").agg(
+    places = _seller_orders(items, orders, attributes).groupBy("seller_id", *attributes).agg(
         F.count("order_id").alias("orders"),
         F.sum("revenue_units").alias("revenue_units"),
         *parts("days", _if_delivered("delivery_days")),
@@ -212,6 +221,8 @@ def seller_delivery_performance(items: DataFrame, orders: DataFrame) -> DataFram
         _count(_LATE).alias("late"),
         _count(_KNOWN).alias("known"),
     )
+    if attach is not None:
+        places = attach(places)
     return places.groupBy("seller_id").agg(
         F.max("seller_city").alias("seller_city"),
         F.max("seller_state").alias("seller_state"),
@@ -229,7 +240,7 @@ def seller_state_operations(items: DataFrame, orders: DataFrame) -> DataFrame:
     late = F.expr(f"count(DISTINCT order_id) FILTER (WHERE {_LATE})")
     known = F.expr(f"count(DISTINCT order_id) FILTER (WHERE {_KNOWN})")
     return (
-        _seller_orders(items, orders)
+        _seller_orders(items, orders, SELLER_PLACE)
         .groupBy("seller_state")
         .agg(
             F.count_distinct("seller_id").alias("sellers"),

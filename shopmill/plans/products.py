@@ -4,14 +4,24 @@ The distinct counts are rewritten by Catalyst into a two-level aggregate whose
 first level is partitioned by (group, distinct value): a hot group is spread over
 all tasks and only partial counts meet.  Marts with one row per entity are not
 sorted; a stored table has no order, and sorting it would be a needless exchange.
+
+Marts with one row per product or seller take items without those columns and a
+function that attaches them by id: it runs on the finished rows, so no wide text
+travels with the items and no dimension meets the whole fact.  Without it, the
+items are those of a stored fact and hold the columns already.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopmill.functions import exprs as X
 
+#: Adds the columns of products or sellers to rows that hold their id.
+Attach = Callable[[DataFrame], DataFrame]
+
 
 def _volume(**distinct: str) -> list[Column]:
     counts = [F.count_distinct(column).alias(name) for name, column in distinct.items()]
@@ -48,20 +58,25 @@ def category_performance(items: DataFrame) -> DataFrame:
     )
 
 
-def product_performance(items: DataFrame) -> DataFrame:
-    return (
-        items.groupBy("product_id", "product_category", "product_category_name_english")
-        .agg(*_volume(orders="order_id", sellers="seller_id"), *_revenue_and_freight(), _total(),
-             _average_price("average_price"), _average_value(), _average_ratio())
-    )
+def _per_entity(items: DataFrame, key: str, attributes: list[str], attach: Attach | None, measures: list[Column]) -> DataFrame:
+    if attach is None:
+        return items.groupBy(key, *attributes).agg(*measures)
+    rows = items.groupBy(key).agg(*measures)
+    return attach(rows).select(key, *attributes, *[c for c in rows.columns if c != key])
 
 
-def seller_performance(items: DataFrame) -> DataFrame:
-    return (
-        items.groupBy("seller_id", "seller_city", "seller_state")
-        .agg(*_volume(orders="order_id", unique_products="product_id"), *_revenue_and_freight(), _total(),
-             _average_price("average_item_price"), _average_value(), _average_ratio())
-    )
+def product_performance(items: DataFrame, attach: Attach | None = None) -> DataFrame:
+    return _per_entity(
+        items, "product_id", ["product_category", "product_category_name_english"], attach,
+        [*_volume(orders="order_id", sellers="seller_id"), *_revenue_and_freight(), _total(),
+         _average_price("average_price"), _average_value(), _average_ratio()])
+
+
+def seller_performance(items: DataFrame, attach: Attach | None = None) -> DataFrame:
+    return _per_entity(
+        items, "seller_id", ["seller_city", "seller_state"], attach,
+        [*_volume(orders="order_id", unique_products="product_id"), *_revenue_and_freight(), _total(),
+         _average_price("average_item_price"), _average_value(), _average_ratio()])
 
 
 def seller_category_performance(items: DataFrame) -> DataFrame:

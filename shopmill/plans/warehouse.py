@@ -39,6 +39,12 @@ class Warehouse:
             c["sellers"] if sellers else None,
         )
 
+    def with_products(self, df: DataFrame) -> DataFrame:
+        return M.add_products(df, self.clean["products"], self.clean["translation"])
+
+    def with_sellers(self, df: DataFrame) -> DataFrame:
+        return M.add_sellers(df, self.clean["sellers"])
+
     @cached_property
     def items_agg(self) -> DataFrame:
         return M.agg_order_items(self.items())
