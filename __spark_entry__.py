@@ -27,7 +27,7 @@ from shopmill.sources.writers import export_marts, table_row_counts  # noqa: E40
 
 try:
     from shopmill.llm import queries as corpus
-except ModuleNotFoundError as missing:  # the subpackage is optional
+except ImportError as missing:  # the subpackage is optional
     if not (missing.name or "").startswith(("shopmill.llm", "corpus_pipeline")):
         raise
     corpus = None
