@@ -88,10 +88,9 @@ def _rows_sharing(items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     Keys are counted with map-side combine and the repeated ones joined back, so
     no task has to hold all rows of one key, as a window over the key would.
     """
-    suspects = rows_with_repeated_hash(items, *keys)
-    repeated = duplicate_keys(suspects, *keys).select(*[F.col(k).alias(f"dup_{k}") for k in keys])
+    repeated = duplicate_keys(items, *keys).select(*[F.col(k).alias(f"dup_{k}") for k in keys])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"dup_{k}")) for k in keys])
-    return suspects.join(repeated, same, "left_semi")
+    return items.join(repeated, same, "left_semi")
 
 
 def order_item_key_duplicates(items: DataFrame) -> DataFrame:

@@ -175,14 +175,14 @@ def category_operations(items: DataFrame) -> DataFrame:
 SELLER_PLACE = ["seller_city", "seller_state"]
 
 
-def _seller_orders(items: DataFrame, orders: DataFrame, attributes: list[str]) -> DataFrame:
-    """One row per seller and order, carrying the number of items it stands for.
+def _pairs_with_orders(items: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per keys and order, carrying the number of items it stands for.
 
     Reducing the items before the join keeps an order with very many items from
     filling one join task, and makes 'distinct orders' a plain row count.  Means
     stay at item grain by weighting with `n`.
     """
-    pairs = items.groupBy("seller_id", *attributes, "order_id").agg(
+    pairs = items.groupBy(*keys, "order_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(X.as_units("item_revenue")).alias("revenue_units"),
         F.sum(X.as_units("item_freight")).alias("freight_units"),
@@ -212,7 +212,7 @@ def seller_delivery_performance(
         return [F.sum(X.as_units(value) * F.col("n")).alias(f"{name}_units"),
                 F.sum(F.when(value.isNotNull(), F.col("n"))).alias(f"{name}_n")]
 
-    places = _seller_orders(items, orders, attributes).groupBy("seller_id", *attributes).agg(
+    places = _pairs_with_orders(items, orders, ["seller_id", *attributes]).groupBy("seller_id", *attributes).agg(
         F.count("order_id").alias("orders"),
         F.sum("revenue_units").alias("revenue_units"),
         *parts("days", _if_delivered("delivery_days")),
@@ -237,20 +237,30 @@ def seller_delivery_performance(
 
 
 def seller_state_operations(items: DataFrame, orders: DataFrame) -> DataFrame:
-    late = F.expr(f"count(DISTINCT order_id) FILTER (WHERE {_LATE})")
-    known = F.expr(f"count(DISTINCT order_id) FILTER (WHERE {_KNOWN})")
-    return (
-        _seller_orders(items, orders, SELLER_PLACE)
+    """One row per state; items are reduced to (state, order) pairs, so distinct orders are a row count.
+
+    Sellers are counted apart: several distinct counts in one aggregate would copy every row.
+    """
+    late, known = _count(_LATE), _count(_KNOWN)
+    sellers = (
+        items.select("seller_state", "seller_id", "order_id").distinct()
+        .join(orders.select("order_id"), "order_id", "left_semi")
+        .groupBy(F.col("seller_state").alias("of")).agg(F.count_distinct("seller_id").alias("sellers")))
+    states = (
+        _pairs_with_orders(items, orders, ["seller_state"])
         .groupBy("seller_state")
         .agg(
-            F.count_distinct("seller_id").alias("sellers"),
-            F.count_distinct("order_id").alias("orders"),
+            F.count("order_id").alias("orders"),
             (F.sum("revenue_units").cast("double") / F.lit(100.0)).alias("revenue"),
             (F.sum("freight_units").cast("double") / F.lit(100.0)).alias("freight"),
             _weighted(_if_delivered("delivery_days")).alias("average_delivery_days"),
             late.alias("late_orders"),
             _rate(late, known).alias("late_delivery_rate"),
         )
+    )
+    return (
+        states.join(sellers, F.col("seller_state").eqNullSafe(F.col("of")))
+        .select("seller_state", "sellers", *[c for c in states.columns if c != "seller_state"])
         .orderBy(F.desc("revenue"), "seller_state")
     )
 

@@ -11,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopmill.operators import model as M
 from shopmill.operators.cleaning import clean_all
 from shopmill.operators.guards import fail_on_failures, join_cardinality_guard, require_unique
-from shopmill.plans import calendar, operations, products, quality, rfm, validate
+from shopmill.plans import calendar, investigate, operations, products, quality, rfm, sales, validate
 from shopmill.sources.scratch import materialize
-from shopmill.sources.writers import export_marts, save_csv, save_folder
+from shopmill.sources.writers import export_marts, save_csv, save_folder, stored_tables
 
 
 class Warehouse:
@@ -160,6 +160,102 @@ def build_marts(model: Mapping[str, DataFrame], reference_date=None, stored: boo
     }
 
 
+def audit_reports(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Profiles and extracts of the raw tables, by name of the report."""
+    orders, items = raw["orders"], raw["order_items"]
+    without = {name: investigate.orders_without(orders, raw[table]) for name, table in (
+        ("items", "order_items"), ("payments", "payments"), ("reviews", "reviews"))}
+    return {
+        "table_inventory": quality.table_inventory(raw),
+        "missing_values": quality.missing_values(raw),
+        "missing_by_status": quality.missing_by_status(orders),
+        "date_quality": quality.date_quality_report(orders),
+        "relationship_cardinality": quality.relationship_cardinality(raw),
+        "geolocation_quality": quality.geolocation_quality(raw["geolocation"]),
+        "untranslated_categories": quality.untranslated_categories(raw["products"], raw["translation"]),
+        "order_status_distribution": quality.order_status_distribution(orders),
+        "invalid_payment_installments": investigate.invalid_payment_installments(raw["payments"]),
+        "invalid_date_sequences": investigate.invalid_date_sequences(orders),
+        **{f"orders_without_{name}": df for name, df in without.items()},
+        "multiple_reviews_per_order": investigate.multiple_reviews_per_order(raw["reviews"]),
+        "order_item_key_duplicates": investigate.order_item_key_duplicates(items),
+        "order_item_duplicate_key_groups": investigate.order_item_duplicate_key_groups(items),
+        "transactional_duplicates": investigate.transactional_duplicates(items),
+        "business_key_summary": investigate.business_key_summary(items),
+    }
+
+
+def audit_summaries(reports: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Counts over stored reports."""
+    sequences = reports["invalid_date_sequences"]
+    return {
+        "quality_status_counts": quality.quality_status_counts(reports["data_quality_results"]),
+        "anomaly_counts_by_type": investigate.anomaly_counts_by_type(sequences),
+        "anomaly_counts_by_status": investigate.anomaly_counts_by_status(sequences),
+        **{f"orders_without_{name}_by_status": investigate.status_distribution(reports[f"orders_without_{name}"])
+           for name in ("items", "payments", "reviews")},
+        "review_count_distribution": investigate.review_count_distribution(reports["multiple_reviews_per_order"]),
+    }
+
+
+def presentation_tables(model: Mapping[str, DataFrame], marts: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The sales queries, the segment summary and the top-ten tables, from the stored model and marts."""
+    items, orders, items_agg = model["fact_order_items"], model["fact_orders"], model["agg_order_items"]
+    return {
+        "total_product_revenue": sales.total_product_revenue(items),
+        "total_orders": sales.total_orders(orders),
+        "unique_customers": sales.unique_customers(model["dim_customers"]),
+        "average_order_value": sales.average_order_value(items_agg),
+        "monthly_revenue": sales.monthly_revenue(orders.drop("product_revenue"), items_agg),
+        "monthly_order_volume": sales.monthly_order_volume(orders),
+        "revenue_by_category": sales.revenue_by_category(items),
+        "revenue_by_state": sales.revenue_by_state(orders),
+        "rfm_segment_summary": rfm.rfm_segment_summary(marts["customer_rfm"]),
+        "top_categories": products.top_categories(marts["category_performance"]),
+        "top_products": products.top_products(marts["product_performance"]),
+        "top_sellers": products.top_sellers(marts["seller_performance"]),
+        "top_customer_states": operations.top_customer_states(marts["customer_state_operations"]),
+    }
+
+
+def expected_rows(clean: Mapping[str, DataFrame], model: Mapping[str, DataFrame]) -> dict[str, DataFrame | int]:
+    """For each warehouse table, a table or number it must have as many rows as."""
+    items, orders = model["fact_order_items"], model["fact_orders"]
+
+    def keys(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(*columns).distinct()
+
+    def known(table: str, key: str) -> DataFrame:
+        return keys(clean[table].where(F.col(key).isNotNull()), key)
+
+    # People come from the orders: a customer without one is not in the dimension.
+    people = keys(orders.where("customer_unique_id IS NOT NULL"), "customer_unique_id")
+    return {
+        "fact_order_items": clean["order_items"],
+        "agg_order_items": known("order_items", "order_id"),
+        "agg_order_payments": known("payments", "order_id"),
+        "agg_order_reviews": known("reviews", "order_id"),
+        "fact_orders": clean["orders"],
+        "dim_customers": people,
+        "customer_rfm": people,
+        "category_performance": keys(items, "product_category"),
+        "product_performance": keys(items, "product_id"),
+        "seller_performance": keys(items, "seller_id"),
+        "seller_category_performance": keys(items, "seller_id", "product_category"),
+        "seller_state_performance": keys(items, "seller_state"),
+        "operations_summary": 1,
+        "monthly_operations": keys(orders, "order_purchase_month"),
+        "customer_state_operations": keys(orders, "customer_state"),
+        "delivery_review_performance": keys(orders, "is_late"),
+        "review_score_distribution": orders.where("average_review_score IS NOT NULL").select(
+            F.rint("average_review_score")).distinct(),
+        "category_operations": keys(items, "product_category"),
+        "seller_delivery_performance": keys(items, "seller_id"),
+        "seller_state_operations": keys(items, "seller_state"),
+        "dim_date": calendar.date_series(orders),
+    }
+
+
 def build_all(
     spark: SparkSession,
     raw: Mapping[str, DataFrame],
@@ -170,8 +266,8 @@ def build_all(
     """Audit, clean, model, marts, validation and export below `folder`.
 
     Each stage is written once and read back by the next; a FAIL in the model,
-    sales, mart or date checks stops the run.  Findings on the raw and cleaned data
-    are reported, not fatal.
+    catalog, sales, mart or date checks stops the run.  Findings on the raw and cleaned
+    data are reported, not fatal.  Whether a table exists is read from the folder.
     """
     def saved(stage: str):
         def save(df: DataFrame, name: str) -> DataFrame:
@@ -181,11 +277,15 @@ def build_all(
     def report(df: DataFrame, name: str) -> DataFrame:
         return saved("reports")(df, name)
 
-    report(quality.table_inventory(raw), "table_inventory")
-    report(quality.quality_report(raw), "data_quality_results")
+    audit = {name: report(df, name) for name, df in audit_reports(raw).items()}
+    audit["data_quality_results"] = report(quality.quality_report(raw), "data_quality_results")
+    for name, df in audit_summaries(audit).items():
+        report(df, name)
 
     clean = {table: saved("processed")(df, table) for table, df in clean_all(raw).items()}
-    report(validate.processed_data_validation(raw, clean), "processed_data_validation")
+    report(validate.row_count_comparison(raw, clean), "row_count_comparison")
+    report(validate.processed_data_validation(raw, clean, stored_tables(spark, f"{folder}/processed")),
+           "processed_data_validation")
 
     house = Warehouse(raw, clean)
     house.require_unique_keys()
@@ -196,17 +296,22 @@ def build_all(
 
     marts = {name: saved("marts")(df, name) for name, df in build_marts(model, reference_date).items()}
     items, orders = model["fact_order_items"], model["fact_orders"]
+    listed = stored_tables(spark, f"{folder}/marts")
     people = clean["customers"].select("customer_unique_id").where("customer_unique_id IS NOT NULL").distinct()
     gates = {
+        "catalog": validate.catalog_validation(
+            {**model, **marts}, expected_rows(clean, model), [*stored_tables(spark, f"{folder}/model"), *listed]),
         "sales": validate.sales_reconciliation(model, clean["orders"], people),
-        "product_seller": validate.product_seller_validation(items, marts),
-        "operations": validate.operations_validation(items, orders, marts),
-        "date": validate.date_dim_validation(orders, marts["dim_date"]),
+        "product_seller": validate.product_seller_validation(items, marts, listed),
+        "operations": validate.operations_validation(items, orders, marts, listed),
+        "date": validate.date_dim_validation(orders, marts["dim_date"], listed),
     }
     for name, checks in gates.items():
         fail_on_failures(report(checks, f"{name}_validation"), name)
     fail_on_failures(report(validate.rfm_validation(
-        marts["customer_rfm"], model["dim_customers"], expected_segments), "rfm_validation"), "rfm")
+        marts["customer_rfm"], model["dim_customers"], expected_segments, listed), "rfm_validation"), "rfm")
+    for name, df in presentation_tables(model, marts).items():
+        saved("presentation")(df, name)
 
     tables = {**model, **marts}
     export = export_marts(spark, tables, f"{folder}/export")

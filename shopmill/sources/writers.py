@@ -15,6 +15,15 @@ def save_folder(df: DataFrame, folder: str, name: str, partition_by: Sequence[st
     return path
 
 
+def stored_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the parquet tables in a folder, from the listing of their files."""
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", True).load(folder))
+    names = files.select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct()
+    return sorted(row["name"] for row in names.collect())
+
+
 def save_table(
     df: DataFrame,
     name: str,
