@@ -3,8 +3,8 @@
 A unit is a line.  It is normalised (lower case, runs of white space as one space, none
 at the ends) and represented by a 128-bit digest.  Digests are grouped over all texts, the
 occurrence with the smallest (id, unit number) stays, every other one is removed.
-Units of fewer than ``min_words`` words are never removed: in natural text they
-repeat by chance.
+Every line that is not blank counts, however short; a caller may raise ``min_words`` to
+leave lines of fewer words alone.
 
 Nulls and empty texts have no units.  Null ids rank first.  Rows that share an id are ranked by
 their unit numbers; two of them at one place are both the kept occurrence.
@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shopmill.llm.columns import let, sums_before
 from shopmill.sources.scratch import materialize
 
-MIN_WORDS = 8
+MIN_WORDS = 1
 
 
 def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(unit, start, end, digest) of the lines that are long enough."""
+    """(unit, start, end, digest) of the lines of ``min_words`` words or more."""
     at = 0
     for number, line in enumerate(text.split("\n")):
         words = line.lower().split()

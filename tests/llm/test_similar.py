@@ -238,3 +238,12 @@ def test_lines_of_odd_rows(spark, odd):
     removed = U.repeated_units(docs)
     assert sorted((r["doc_id"], r["kept_doc_id"]) for r in removed.collect()) == [(1, None), (1, None)]
     assert U.repeated_units(docs.limit(0)).count() == 0
+
+
+def test_short_lines_and_lines_without_spaces_are_removed(spark):
+    rows = [(1, "les.\n\n同じ行がここにあります。\nand ornd."), (2, "Les.\n \n同じ行がここにあります。"), (3, "\nAnd   ornd.\nles.\nonly here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = U.repeated_units(docs)
+    assert sorted(tuple(r)[:6] for r in removed.collect()) == [
+        (2, 0, 0, 4, 1, 0), (2, 2, 7, 19, 1, 2), (3, 1, 1, 12, 1, 3), (3, 2, 13, 17, 1, 0)]
+    assert U.repeated_units(docs, min_words=2).select("doc_id", "unit").collect() == [(3, 1)]
