@@ -115,6 +115,43 @@ def test_near_duplicates_at_similarity(spark):
     assert {i for i, _ in texts} - kept == expected
 
 
+def test_similarity_is_decided_by_the_shingle_sets(spark):
+    rows, expected = [], set()
+    for k in range(60):
+        common = (79, 80, 81)[k % 3]  # of two sets of 90: 0.782, 0.8 and 0.818
+        words = [f"v{k}x{n}" for n in range(94)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:common + 4] + [f"u{k}x{n}" for n in range(90 - common)]))]
+        if common >= 80:
+            expected.add(2 * k + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in S.keep_one(docs).collect()}
+    assert {i for i, _ in rows} - kept == expected
+
+
+def test_similar_sets_match_brute_force_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = []
+    for k in range(90):
+        words = sentence(k // 9, 60).split()
+        for at in rng.sample(range(60), rng.randrange(4)):
+            words[at] = f"new{rng.randrange(3)}"
+        texts.append((k, " ".join(words)))
+    sets = [set(S.similarity_hashes(t, 5).tolist()) for _, t in texts]
+    near = [(a, b) for a in range(90) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    expected = {k: k for k in range(90)}
+    for _ in range(90):
+        for a, b in near:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    docs = spark.createDataFrame(texts, "id long, text string")
+    group = spark.createDataFrame([(k, 0) for k in range(90)], "node long, component long")
+    sizes = spark.createDataFrame([(k, 8 * len(s)) for k, s in enumerate(sets)], "node long, size long")
+    for size in (S.PIECE_BYTES, 10_000):
+        monkeypatch.setattr(S, "PIECE_BYTES", size)
+        found = {r["node"]: r["component"] for r in components(S.similar_links(docs, group, sizes, 5)).collect()}
+        assert {k: found.get(k, k) for k in range(90)} == expected
+    assert 10 < len(set(expected.values())) < 90
+
+
 def test_odd_rows(spark, odd):
     got = S.simhash_groups(odd).collect()
     assert len(got) == len(ODD)
