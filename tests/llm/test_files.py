@@ -62,6 +62,34 @@ def test_repeats_match_brute_force(spark, monkeypatch):
     assert found() == expected
 
 
+def test_no_group_holds_the_rows_of_a_hot_window(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh", k=90))
+    texts = ["".join(rng.choices("ijklmnop", k=40)) + passage + "".join(rng.choices("qrstuvwx", k=40)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    solve, most = X._repeats_of_groups, 8
+
+    def watched(length):
+        run = solve(length)
+
+        def rows_of(batches):
+            seen = {}
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    seen[key] = seen.get(key, 0) + 1
+                    assert seen[key] <= most, "a hash above HOT reached one group"
+                yield from run(iter([batch]))
+        return rows_of
+
+    monkeypatch.setattr(X, "HOT", most)
+    monkeypatch.setattr(X, "_repeats_of_groups", watched)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in X.remove_repeats(docs).collect()}
+    for k, text in enumerate(texts):
+        places = [at for at in range(len(text) - 49) if any(text[at:at + 50] in other for other in texts[:k])]
+        assert got[k] == ([(places[0], places[-1] + 50)] if places else [])
+    assert all(got[k] for k in range(1, 40))
+
+
 def test_merged_transforms_sort_suffixes():
     rng = random.Random(1)
     for shards in (1, 2, 3):
