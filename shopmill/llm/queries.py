@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shopmill.llm.byte_bpe import decode, encode
 from shopmill.llm.decontaminate import find_leaks
+from shopmill.llm.hard_negatives import mine, usable
 from shopmill.llm.licenses import scan
 from shopmill.llm.mixing import mix
 from shopmill.llm.pii import KINDS, find_spans, listed
@@ -18,6 +20,7 @@ from shopmill.llm.tokens import token_file
 from shopmill.llm.unit_dedup import repeated_units
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS = 8  # of OP3_SQL only, which leaves out shorter lines; the query takes every line
 
 
@@ -81,6 +84,23 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = usable(_table(spark, folder, "embeddings"), "vec_id", label, F.col("embedding"))
+    return mine(rows, F.col("id") % 100 == 0)
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(RANKS)
+    ids = encode(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode(ids, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("body", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_file": op8_token_file,
     "op9_mix": op9_mix,
     "op10_shards": op10_shards,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
 
@@ -161,4 +183,28 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM along
 """
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op9_mix": OP9_SQL}
+OP12_SQL = """
+WITH rows AS (
+    SELECT vec_id AS id,
+           CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS units
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(
+        list_transform(embedding, lambda x: coalesce(isfinite(x), false))) IS NOT FALSE
+), scored AS (
+    SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, a.id = b.id AS own,
+           CAST(coalesce(list_sum(list_transform(list_zip(a.units, b.units), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+    FROM rows a, rows b WHERE a.id % 100 = 0
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same AND NOT own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op9_mix": OP9_SQL, "op12_hard_negatives": OP12_SQL}
