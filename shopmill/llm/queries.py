@@ -12,6 +12,7 @@ from shopmill.llm.hard_negatives import mine, usable
 from shopmill.llm.licenses import scan
 from shopmill.llm.mixing import mix
 from shopmill.llm.pii import KINDS, find_spans, listed
+from shopmill.llm.prefix_trie import chains, ordered_turns, rebuilt, trie
 from shopmill.llm.quality import judge
 from shopmill.llm.sharding import shard
 from shopmill.llm.simhash import simhash_groups
@@ -84,6 +85,15 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = F.col("conv_id")
+    turns = rebuilt(ordered_turns(_table(spark, folder, "conversations")), base=own - own % 100,
+                    heads=F.crc32(own.cast("string")) % 6)
+    return trie(chains(turns)).select(
+        "conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves",
+        "saved_tokens", "ends_sha256")
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.col("label").cast("long")
     label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -118,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_file": op8_token_file,
     "op9_mix": op9_mix,
     "op10_shards": op10_shards,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
@@ -183,6 +194,53 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM along
 """
 
+OP11_SQL = """
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (  -- CRC-32 of the decimal id: for each byte, one exclusive or and eight shifts
+    SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+        list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+            lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END),
+        4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), parts AS (
+    SELECT h.conv_id, 0 AS part, t.place, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.base AND t.place <= h.h
+    UNION ALL
+    SELECT h.conv_id, 1, t.place, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.place > h.h
+), whole AS (
+    SELECT h.conv_id, coalesce(list(md5(len(role) || '|' || role || text) ORDER BY part, place) FILTER (part IS NOT NULL), []) AS turns,
+           coalesce(list(len(text) ORDER BY part, place) FILTER (part IS NOT NULL), []) AS sizes
+    FROM heads h LEFT JOIN parts p USING (conv_id) GROUP BY h.conv_id
+), prefixes AS (
+    SELECT conv_id, depth, md5(array_to_string(turns[:depth], ',')) AS node, len(turns) = depth AS ends,
+           CASE WHEN depth > 0 THEN md5(array_to_string(turns[:depth - 1], ',')) END AS parent,
+           CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS size
+    FROM whole, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS depth)
+), nodes AS (
+    SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+           (count(*) - 1) * any_value(size) AS saved,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY node, depth
+), children AS (
+    SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY ALL
+), below AS (  -- every node with every node of its subtree, by way of the smallest member below
+    SELECT DISTINCT a.node AS top, a.depth AS top_depth, b.node, b.depth
+    FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), sums AS (
+    SELECT top AS node, top_depth AS depth, sum(n.saved) AS saved_tokens, count(*) FILTER (c.n IS NULL) AS n_leaves
+    FROM below b JOIN nodes n ON n.node = b.node AND n.depth = b.depth
+    LEFT JOIN children c ON c.node = b.node AND c.depth = b.depth GROUP BY ALL
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+       s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.depth = n.depth
+LEFT JOIN children c ON c.node = n.node AND c.depth = n.depth
+LEFT JOIN nodes p ON p.node = n.parent AND p.depth = n.depth - 1
+"""
+
 OP12_SQL = """
 WITH rows AS (
     SELECT vec_id AS id,
@@ -207,4 +265,5 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY rank <= 10
 """
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op9_mix": OP9_SQL, "op12_hard_negatives": OP12_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op9_mix": OP9_SQL, "op11_prefix_trie": OP11_SQL,
+                       "op12_hard_negatives": OP12_SQL}
