@@ -31,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-ROUND = 4_000_000  # characters of texts, or ids, that a task works on at once
-KNOWN = 600_000  # words that a task keeps
-MEMORY = "700MB"  # of the SQL engine in a task, which spills beyond it
+ROUND = 1_000_000  # characters of texts, or ids, that a task works on at once
+KNOWN = 800_000  # words that a task keeps
+MEMORY = "1GB"  # of the SQL engine in a task, which spills beyond it
 
 #: One merge of every open word at a time: the leftmost pair of the least rank.
 CONTRACT = """
