@@ -104,10 +104,12 @@ def chains(parts: DataFrame) -> DataFrame:
 
 
 def _leaves(conversations: DataFrame) -> DataFrame:
-    """Rows of the state for conversations that end, equal ones as one."""
-    return conversations.select(
-        "chain", "sizes", F.lit(1).cast("long").alias("n_convs"), "conv_id", F.lit(0).cast("long").alias("n_children"),
-        F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"))
+    """Rows of the state for conversations that end, equal ones as one, however many they are."""
+    none = F.lit(0).cast("long")
+    return conversations.groupBy(F.coalesce(F.try_element_at("chain", F.lit(-1)), F.lit(ROOT)).alias("digest")).agg(
+        F.first("chain").alias("chain"), F.first("sizes").alias("sizes"), F.count(F.lit(1)).alias("n_convs"),
+        F.min("conv_id").alias("conv_id"),
+    ).select("chain", "sizes", "n_convs", "conv_id", none.alias("n_children"), none.alias("n_leaves"), none.alias("saved_tokens"))
 
 
 def _grouped(rows: DataFrame, depth: int) -> DataFrame:
@@ -190,7 +192,8 @@ def peel(conversations: DataFrame, tail: int = TAIL) -> DataFrame:
 
     ``conversations`` are (conv_id, chain, sizes), one row for each.
     """
-    lengths = {row["depth"]: row["n"] for row in conversations.groupBy(F.size("chain").alias("depth")).agg(
+    ended = materialize(_leaves(conversations), "ended")
+    lengths = {row["depth"]: row["n"] for row in ended.groupBy(F.size("chain").alias("depth")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
     if not lengths:
         return conversations.sparkSession.createDataFrame([], NODE)
@@ -199,7 +202,6 @@ def peel(conversations: DataFrame, tail: int = TAIL) -> DataFrame:
         turns += top * lengths.get(top, 0)
         top -= 1
     out, above = [], None  # `above` holds what the level below brings
-    ended = _leaves(conversations)
     if top < max(lengths):
         floor = top + 1
         deep = ended.where(F.size("chain") > top).withColumn("subtree", F.element_at("chain", floor))
