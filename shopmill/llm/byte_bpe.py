@@ -29,33 +29,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-ROUND = 1_000_000  # characters of texts, or ids, that a task works on at once
-KNOWN = 800_000  # words that a task keeps
+ROUND = 1_500_000  # characters of texts, or ids, that a task works on at once
+KNOWN = 600_000  # words that a task keeps
 MEMORY = "1GB"  # of the SQL engine in a task, which spills beyond it
 
-#: One merge of every open word at a time: the leftmost pair of the least rank.
+#: One merge of every open word at a time: the leftmost pair of the least rank.  A row's key is its word's
+#: number and its position in seven bits; a pair's place is its rank, its position and that of its right half.
 CONTRACT = """
 WITH RECURSIVE steps AS (
-    SELECT word, pos, id, true AS open FROM bytes_of_words
+    SELECT word::BIGINT * 128 + pos AS key, id, true AS open FROM bytes_of_words
     UNION ALL (
     WITH paired AS (
-        SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id
-        FROM steps WHERE open WINDOW w AS (PARTITION BY word ORDER BY pos)
+        SELECT key, id, lead(key) OVER w AS next_key, lead(id) OVER w AS next_id
+        FROM steps WHERE open WINDOW w AS (ORDER BY key)
     ), ranked AS (
-        SELECT p.word, p.pos, p.id, p.next_pos, m.id AS rank
-        FROM paired p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
+        SELECT p.key, p.id, p.key >> 7 AS word, (m.id * 128 + p.key % 128) * 128 + p.next_key % 128 AS place
+        FROM paired p LEFT JOIN merges m
+            ON m.left_id = p.id AND m.right_id = p.next_id AND p.key >> 7 = p.next_key >> 7
     ), least AS (
-        SELECT word, min((rank, pos, next_pos)) AS pair FROM ranked WHERE rank IS NOT NULL GROUP BY word
-    ), chosen AS (
-        SELECT word, pair[1] AS id, pair[2] AS pos, pair[3] AS gone FROM least
+        SELECT word, min(place) AS place FROM ranked GROUP BY word
     )
-    SELECT r.word, r.pos, CASE WHEN r.pos = c.pos THEN c.id ELSE r.id END AS id, c.word IS NOT NULL AS open
-    FROM ranked r LEFT JOIN chosen c ON c.word = r.word
-    WHERE c.word IS NULL OR r.pos <> c.gone)
+    SELECT r.key, CASE WHEN r.place = l.place THEN l.place >> 14 ELSE r.id END::INT AS id, l.place IS NOT NULL AS open
+    FROM ranked r JOIN least l ON l.word = r.word
+    WHERE l.place IS NULL OR r.key % 128 <> l.place % 128)
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM steps WHERE NOT open GROUP BY word
+SELECT (key >> 7)::INT AS word, list(id ORDER BY key) AS ids FROM steps WHERE NOT open GROUP BY key >> 7
 """
 
 #: The same for long words, with all pairs contracted at once that no other merge can reach before their turn.
@@ -156,19 +157,21 @@ class Coder:
         at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return pa.table({"word": np.repeat(np.array(numbers, np.int32), sizes), "pos": at.astype(np.int32), "id": flat})
 
-    def _learn(self, words: pa.Array) -> None:
-        """Add words to ``known``."""
-        texts = words.to_pylist()
-        long = [len(t.encode()) > self.reach for t in texts]
-        for query, name, which in ((CONTRACT, "bytes_of_words", False), (CONTRACT_LONG, "bytes_of_long_words", True)):
-            numbers = [k for k, is_long in enumerate(long) if is_long == which]
-            if numbers:
-                self.engine.register(name, self._bytes_of([texts[k] for k in numbers], numbers))
-                self.engine.register("new_words", pa.table({"word": pa.array(range(len(texts)), pa.int32()), "text": words}))
-                self.engine.execute(
-                    f"INSERT INTO known SELECT text, ids FROM ({query.replace('{reach}', str(self.reach))}) JOIN new_words USING (word)")
+    def _learn(self, words: pa.Array, numbers: pa.Array) -> list[pa.Table]:
+        """(word, ids) of new words, which are added to ``known``; ``numbers`` are their words' numbers in ``met``."""
+        texts, which = words.to_pylist(), numbers.to_pylist()
+        long = [len(t.encode()) > min(self.reach, 127) for t in texts]
+        out = []
+        for query, name, kind in ((CONTRACT, "bytes_of_words", False), (CONTRACT_LONG, "bytes_of_long_words", True)):
+            rows = [k for k, is_long in enumerate(long) if is_long == kind]
+            if rows:
+                self.engine.register(name, self._bytes_of([texts[k] for k in rows], [which[k] for k in rows]))
+                out.append(self.engine.sql(query.replace("{reach}", str(self.reach))).to_arrow_table())
                 self.engine.unregister(name)
-                self.engine.unregister("new_words")
+                self.engine.register("learnt", out[-1])
+                self.engine.execute("INSERT INTO known SELECT text, ids FROM learnt JOIN met USING (word)")
+                self.engine.unregister("learnt")
+        return out
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's end."""
@@ -181,12 +184,15 @@ class Coder:
         if self.n_known + len(distinct) > KNOWN:
             self._forget()
         self.engine.register("met", pa.table({"word": pa.array(range(len(distinct)), pa.int32()), "text": distinct}))
-        new = self.engine.sql("SELECT text FROM met ANTI JOIN known USING (text)").to_arrow_table().column("text")
+        found = self.engine.sql("SELECT word, text, ids FROM met LEFT JOIN known USING (text)").to_arrow_table()
+        fresh = pc.is_null(found.column("ids"))
+        new, found = found.filter(fresh), found.filter(pc.invert(fresh)).select(["word", "ids"])
         if len(new):
-            self._learn(new.combine_chunks().cast(pa.string()))
+            learnt = self._learn(new.column("text").combine_chunks(), new.column("word").combine_chunks())
+            found = pa.concat_tables([found, *learnt])
             self.n_known += len(new)
-        found = self.engine.sql("SELECT word, ids FROM met JOIN known USING (text)").to_arrow_table().combine_chunks()
         self.engine.unregister("met")
+        found = found.combine_chunks()
         place = np.empty(len(distinct), np.int64)
         place[found.column("word").to_numpy()] = np.arange(len(distinct))
         ids = found.column("ids").chunk(0)
