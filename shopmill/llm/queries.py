@@ -22,7 +22,6 @@ from shopmill.llm.unit_dedup import repeated_units
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MIN_WORDS = 8  # of OP3_SQL only, which leaves out shorter lines; the query takes every line
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -134,25 +133,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-OP3_SQL = f"""
-WITH lines AS (
-    SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit,
-           unnest(string_split(text, chr(10))) AS line
+OP3_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, regexp_extract_all(text,
+        '(?s).*?(?:[.!?]+[\x20\x09-\x0D]+|[\x{3002}\x{FF01}\x{FF1F}]+[\x20\x09-\x0D]*|\n[\x20\x09-\x0D]*\n|\z)') AS pieces
     FROM documents WHERE text IS NOT NULL
+), listed AS (
+    SELECT doc_id, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS k FROM cut
 ), placed AS (
-    SELECT *, COALESCE(SUM(length(line) + 1) OVER (
-        PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM lines
-), words AS (
-    SELECT *, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda w: w <> '') AS words FROM placed
+    SELECT *, coalesce(sum(length(piece)) OVER (
+        PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM listed
+), worded AS (
+    SELECT doc_id, k, off + length(piece) - length(regexp_replace(piece, '^[\x20\x09-\x0D]+', '')) AS start,
+           off + length(regexp_replace(piece, '[\x20\x09-\x0D]+$', '')) AS "end",
+           regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM placed
+), sentences AS (
+    SELECT doc_id, row_number() OVER w - 1 AS unit, start, "end", len(words) AS n, array_to_string(words, ' ') AS body,
+           sum(len(words)) OVER w AS upto, sum(len(words)) OVER (PARTITION BY doc_id) AS total
+    FROM worded WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), starts AS (
+    SELECT doc_id, unit, start, upto - n AS before, LEAST(upto - n + 30, total) AS goal, total FROM sentences
+    WHERE total - (upto - n) >= 30
+    UNION  -- the run that ends the text
+    SELECT doc_id, max_by(unit, unit), max_by(start, unit), max_by(upto - n, unit), any_value(total), any_value(total)
+    FROM sentences WHERE total - (upto - n) >= LEAST(30, total) GROUP BY doc_id
+), spans AS (
+    SELECT a.doc_id, a.unit, a.start, max(b."end") AS "end", CAST(sum(b.n) AS BIGINT) AS n_words,
+           md5(string_agg(b.body, ' ' ORDER BY b.unit)) AS digest
+    FROM starts a JOIN sentences b ON b.doc_id = a.doc_id AND b.unit >= a.unit AND b.upto - b.n < a.goal
+    GROUP BY a.doc_id, a.unit, a.start, a.goal
 ), units AS (
-    SELECT doc_id, unit, start, start + length(line) AS "end", md5(array_to_string(words, ' ')) AS digest
-    FROM words WHERE len(words) >= {MIN_WORDS}
+    SELECT DISTINCT * FROM spans
 ), ranked AS (
     SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit
     FROM units WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit)
 )
-SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", kept_doc_id, kept_unit, digest
+SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", n_words, kept_doc_id, kept_unit, digest
 FROM ranked WHERE doc_id <> kept_doc_id OR unit <> kept_unit
 """
 

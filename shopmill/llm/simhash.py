@@ -3,18 +3,8 @@
 ``fingerprints`` gives each text the majority bits of its shingle hashes.  Close
 fingerprints are found by blocks and compared by Hamming distance.
 
-Two searches share that outline:
-
-* ``near_fingerprints`` links 64-bit fingerprints at 3 or fewer differing bits.
-  Six blocks of 10 or 11 bits are cut; three differing bits leave three blocks
-  whole, so the 20 choices of three blocks (32 bits) lose no pair.
-* ``near_duplicates`` finds texts whose shingle sets are similar at 0.8 or more.
-  There a 64-bit fingerprint differs in ten bits on average, so blocks of plain
-  bits miss such pairs.  The fingerprint has 1,024 bits, and a block is the
-  SimHash of a small sample of shingles, drawn by smallest hash, which similar
-  texts draw alike: at similarity 0.8 one of the 12 blocks is shared in 99.8 %
-  of pairs.  The Hamming limit is loose and only bounds the groups of candidates;
-  inside them the shingle sets themselves are compared, so no pair below 0.8 links.
+``near_fingerprints`` links 64-bit fingerprints at 3 or fewer differing bits.  Six blocks of 10 or 11 bits are cut;
+three differing bits leave three blocks whole, so the 20 choices of three blocks (32 bits) lose no pair.
 
 Nulls and empty texts have no words: their fingerprint is zero, and they are
 linked like any other.  Equal texts share one fingerprint and are one node.
@@ -38,20 +28,6 @@ SEED = 42
 CUTS = (0, 11, 22, 33, 44, 54, 64)  # six blocks of a 64-bit fingerprint
 MAX_BITS = 3
 
-WIDTH = 5  # words of a shingle where similarity decides
-WORDS = 16  # 64-bit words of the long fingerprint
-SAMPLES, SAMPLE_SIZE = 12, 4
-#: 0.8 similar sets differ in 155 of 1,024 bits on average, sets of 4 and 5 in 192, with a deviation of 12.
-SIMILAR_BITS = 240
-SIMILAR = 4, 5  # the least similarity, as a fraction
-PIECE_BYTES = 16 << 20  # shingle sets of a candidate group that are compared at once, twice over
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
-_ODDS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) ** 5) % 2**64 | 1 for k in range(WORDS + SAMPLES)], np.uint64)
-_PRINT_ODDS, _SAMPLE_ODDS = _ODDS[:WORDS], _ODDS[WORDS:]
-_BYTE_AT = np.arange(WORDS * 8, dtype=np.int64) * 256
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
-
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 of every run of ``width`` words, lower-cased in A-Z, joined by a space."""
@@ -77,44 +53,6 @@ def majority(hashes: np.ndarray, step: int = 1 << 15) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _spread(hashes: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """One independent 64-bit value per hash (rows) and multiplier (columns)."""
-    x = hashes[:, None] * odds
-    x ^= x >> np.uint64(29)
-    x *= _ODD
-    return x ^ (x >> np.uint64(32))
-
-
-def similarity_hashes(text: str | None, width: int) -> np.ndarray:
-    """The set of hashes of the runs of ``width`` words; a word is hashed once, runs are combined from it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    runs = np.zeros(max(len(each) - width + 1, 1), np.uint64)
-    for k in range(min(width, len(each))):
-        runs = (runs ^ (runs >> np.uint64(31))) * _ODD + each[k:k + len(runs)]
-    return np.unique(runs ^ (runs >> np.uint64(33)))
-
-
-def long_print(hashes: np.ndarray, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """Long fingerprint and sample blocks of a set of shingle hashes."""
-    ones = np.zeros((WORDS * 8, 8), np.float64)
-    smallest = np.zeros((0, SAMPLES), np.uint64)
-    for at in range(0, len(hashes), step):
-        part = hashes[at:at + step]
-        spread = np.ascontiguousarray(_spread(part, _PRINT_ODDS)).view(np.uint8)
-        seen = np.bincount((spread + _BYTE_AT).ravel(), minlength=WORDS * 8 * 256)
-        ones += seen.reshape(-1, 256).astype(np.float32) @ _BITS
-        smallest = np.concatenate([smallest, _spread(part, _SAMPLE_ODDS)])
-        if len(smallest) > SAMPLE_SIZE:
-            smallest = np.partition(smallest, SAMPLE_SIZE - 1, axis=0)[:SAMPLE_SIZE]
-    prints = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8") if len(hashes) else np.zeros(WORDS, np.uint64)
-    if not len(smallest):
-        return prints, np.zeros(SAMPLES, np.uint64)
-    return prints, np.array([majority(drawn) ^ int(np.bitwise_xor.reduce(drawn)) for drawn in smallest.T], np.uint64)
-
-
 def _signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
@@ -159,127 +97,11 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
         F.col("id").alias(id), "print", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH,
-                    limit: int = SIMILAR_BITS) -> DataFrame:
-    """(id, component_id) of every text with an id; component_id is the smallest id of its group.
-
-    Texts are in a group if a chain of pairs, each similar at 0.8 or more, joins them.
-    ``limit`` bounds the differing bits of candidates.  Rows without an id are left
-    out; rows that share an id count as one document.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [similarity_hashes(t.as_py(), width) for t in batch.column(1)]
-            both = [long_print(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([_signed(p) for p, _ in both], pa.list_(pa.int64())),
-                pa.array([_signed(b) for _, b in both], pa.list_(pa.int64())),
-                pa.array([s.nbytes for s in sets], pa.int64()),
-            ], ["id", "print", "blocks", "size"])
-
-    texts = docs.where(F.col(id).isNotNull()).select(
-        F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    marked = materialize(texts.mapInArrow(run, "id long, print array<long>, blocks array<long>, size long"), "prints")
-    owners = materialize(marked.groupBy("print").agg(
-        F.min("id").alias("node"), F.min("blocks").alias("blocks"), F.max("size").alias("size")), "owners")
-
-    # Fingerprints travel with the blocks of more than one text only.
-    keys = owners.select("node", F.posexplode("blocks")).select(F.struct("pos", "col").alias("key"), "node")
-    several = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = keys.join(several.select("key"), "key").distinct()
-    blocked = shared.join(owners.select("node", "print"), "node").select("key", "node", "print")
-    near = materialize(components(block_links(blocked, limit, WORDS)), "near")
-    linked = materialize(components(similar_links(texts, near, owners.select("node", "size"), width)), "linked")
-    nodes = owners.select("print", "node").join(linked, "node", "left").select(
-        "print", F.coalesce("component", "node").alias("component_id"))
-    return marked.select("id", "print").join(nodes, "print").select(F.col("id").alias(id), "component_id")
-
-
-def similar_pairs(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Positions (a, b) of links that connect what pairs of sets similar at ``SIMILAR`` or more connect.
-
-    A search as in ``spanning_links``; a set that was reached leaves the rest.
-    """
-    above, below = SIMILAR
-    lengths = np.array([len(s) for s in sets])
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    begins = np.cumsum(lengths) - lengths
-    member = np.zeros(len(values), bool)
-    rest, left = np.arange(1, len(sets)), flat[lengths[0]:]
-    stack, froms, tos = [0], [], []
-    while len(rest):
-        if not stack:
-            stack, left, rest = [int(rest[0])], left[lengths[rest[0]]:], rest[1:]
-            continue
-        here = stack.pop()
-        own = flat[begins[here]:begins[here] + lengths[here]]
-        member[own] = True
-        seen = np.append(0, np.cumsum(member[left]))
-        member[own] = False
-        ends = np.cumsum(lengths[rest])
-        common = seen[ends] - seen[ends - lengths[rest]]
-        close = common * below >= above * (lengths[here] + lengths[rest] - common)
-        if close.any():
-            reached = rest[close].tolist()
-            froms.extend([here] * len(reached))
-            tos.extend(reached)
-            stack.extend(reached)
-            left, rest = left[np.repeat(~close, lengths[rest])], rest[~close]
-    return froms, tos
-
-
-def similar_links(texts: DataFrame, near: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
-    """(a, b): spanning links of the texts of one candidate group whose shingle sets are similar at 0.8 or more.
-
-    ``texts`` are (id, text), ``near`` (node, component), ``sizes`` (node, size) with the bytes of a set.
-    A group is cut into pieces of about ``PIECE_BYTES``, and each pair of pieces is compared by one task.
-    """
-    pieces = near.join(sizes, "node").groupBy("component").agg(
-        F.ceil(F.sum("size") / PIECE_BYTES).alias("pieces")).withColumn("pieces", F.greatest("pieces", F.lit(1)))
-    members = near.join(pieces, "component").select(F.col("node").alias("id"), "component", "pieces")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [similarity_hashes(t.as_py(), width).tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(found, pa.binary())], ["component", "pieces", "node", "hashes"])
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve() -> pa.RecordBatch:
-            a, b = similar_pairs([np.frombuffer(h, np.uint64) for h in hashes])
-            ids = np.array(nodes, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids[np.array(x, np.int64)], pa.int64()) for x in (a, b)], ["a", "b"])
-
-        group, nodes, hashes = None, [], []
-        for batch in batches:
-            for *key, node, own in zip(*(column.to_pylist() for column in batch.columns)):
-                if key != group and nodes:
-                    yield solve()
-                    nodes, hashes = [], []
-                group = key
-                nodes.append(node)
-                hashes.append(own)
-        if nodes:
-            yield solve()
-
-    dealt = (
-        texts.join(members, "id").select("component", "pieces", "id", "text")
-        .mapInArrow(sets, "component long, pieces long, node long, hashes binary")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "pieces"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-        .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "hashes")
-    )
-    return dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(
-        links, "a long, b long").distinct()
-
-
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the near copies: of each group the document with the smallest id stays.
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """``docs`` without the near copies: of each group of linked texts the document with the smallest id stays.
 
     Rows without an id cannot be told apart and stay; rows that share an id stay or go together.
     """
-    dropped = near_duplicates(docs, id, text).where(F.col(id) != F.col("component_id")).select(
+    dropped = simhash_groups(docs, id, text, width).where(F.col(id) != F.col("component_id")).select(
         F.col(id).alias("__dropped")).distinct()
     return docs.join(dropped, docs[id] == dropped["__dropped"], "left_anti")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shopmill.llm import decontaminate as D, simhash as S, unit_dedup as U
 from shopmill.llm.links import block_links, components, spanning_links
@@ -97,59 +98,15 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
-def test_near_duplicates_at_similarity(spark):
-    texts, expected = [], set()
+def test_keep_one_keeps_the_smallest_id_of_each_group(spark):
+    texts = []
     for k in range(40):
         words = sentence(k, 300).split()
-        texts.append((10 * k, " ".join(words)))
-        changed = list(words)
-        changed[50] = "changed"
-        texts.append((10 * k + 1, " ".join(changed)))  # similarity 0.97
-        expected.add(10 * k + 1)
-        far = list(words)
-        for at in range(0, 300, 12):
-            far[at] = f"far{at}"
-        texts.append((10 * k + 2, " ".join(far)))  # similarity below 0.5
+        texts += [(10 * k + 3, " ".join(words)), (10 * k + 1, "  ".join(words).upper()), (10 * k + 2, sentence(1000 + k, 300))]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    kept = {r["doc_id"] for r in S.keep_one(docs).collect()}
-    assert {i for i, _ in texts} - kept == expected
-
-
-def test_similarity_is_decided_by_the_shingle_sets(spark):
-    rows, expected = [], set()
-    for k in range(60):
-        common = (79, 80, 81)[k % 3]  # of two sets of 90: 0.782, 0.8 and 0.818
-        words = [f"v{k}x{n}" for n in range(94)]
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:common + 4] + [f"u{k}x{n}" for n in range(90 - common)]))]
-        if common >= 80:
-            expected.add(2 * k + 1)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r["doc_id"] for r in S.keep_one(docs).collect()}
-    assert {i for i, _ in rows} - kept == expected
-
-
-def test_similar_sets_match_brute_force_in_pieces(spark, monkeypatch):
-    rng = random.Random(4)
-    texts = []
-    for k in range(90):
-        words = sentence(k // 9, 60).split()
-        for at in rng.sample(range(60), rng.randrange(4)):
-            words[at] = f"new{rng.randrange(3)}"
-        texts.append((k, " ".join(words)))
-    sets = [set(S.similarity_hashes(t, 5).tolist()) for _, t in texts]
-    near = [(a, b) for a in range(90) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    expected = {k: k for k in range(90)}
-    for _ in range(90):
-        for a, b in near:
-            expected[a] = expected[b] = min(expected[a], expected[b])
-    docs = spark.createDataFrame(texts, "id long, text string")
-    group = spark.createDataFrame([(k, 0) for k in range(90)], "node long, component long")
-    sizes = spark.createDataFrame([(k, 8 * len(s)) for k, s in enumerate(sets)], "node long, size long")
-    for size in (S.PIECE_BYTES, 10_000):
-        monkeypatch.setattr(S, "PIECE_BYTES", size)
-        found = {r["node"]: r["component"] for r in components(S.similar_links(docs, group, sizes, 5)).collect()}
-        assert {k: found.get(k, k) for k in range(90)} == expected
-    assert 10 < len(set(expected.values())) < 90
+    component = {r["doc_id"]: r["component_id"] for r in S.simhash_groups(docs).collect()}
+    kept = sorted(r["doc_id"] for r in S.keep_one(docs).collect())
+    assert kept == sorted(set(component.values())) and not any(i % 10 == 3 for i in kept)
 
 
 def test_odd_rows(spark, odd):
@@ -243,44 +200,100 @@ def test_decontamination_of_odd_rows(spark, odd):
 
 # -- lines --------------------------------------------------------------------------------
 
-def test_lines_match_brute_force(spark):
-    rng = random.Random(2)
-    pool = [sentence(k, 9 + k % 5) for k in range(30)] + ["short line", ""]
-    rows = [(k, "\n".join(rng.choices(pool, k=6)).replace(" ", rng.choice([" ", "  "]))) for k in range(40)]
+def brute_units(text, level):
+    """(unit, start, end, words) by trying every run of sentences."""
+    import re
+    if level == "line":
+        at, out = 0, []
+        for number, line in enumerate(text.split("\n")):
+            if line.strip():
+                out.append((number, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), line.lower().split()))
+            at += len(line) + 1
+        return out
+    ends = [m.end() for m in re.finditer(r"[.!?]+\s+|[。！？]+\s*|\n\s*\n", text)] + [len(text)]
+    parts = [(a, b) for a, b in zip([0, *ends], ends) if text[a:b].strip()]
+    runs = {(i, j) for i in range(len(parts)) for j in range(i, len(parts))}
+
+    def words(i, j):
+        return text[parts[i][0]:parts[j][1]].lower().split()
+
+    n = len(parts) - 1
+    wanted = {(i, j) for i, j in runs if len(words(i, j)) >= U.WORDS and (i == j or len(words(i, j - 1)) < U.WORDS)}
+    wanted |= {(i, j) for i, j in runs if j == n and len(words(i, n)) >= U.WORDS and (i == n or len(words(i + 1, n)) < U.WORDS)}
+    if not wanted and parts:
+        wanted = {(0, n)}
+    return [(i, parts[i][0] + len(text[parts[i][0]:]) - len(text[parts[i][0]:].lstrip()),
+             len(text[:parts[j][1]].rstrip()), words(i, j)) for i, j in sorted(wanted)]
+
+
+def brute_repeats(rows, level):
     seen, expected = {}, []
     for doc, text in rows:
-        at = 0
-        for unit, line in enumerate(text.split("\n")):
-            key = " ".join(line.split())
-            if len(key.split()) >= U.MIN_WORDS:
-                if key in seen:
-                    expected.append((doc, unit, at, at + len(line), *seen[key]))
-                seen.setdefault(key, (doc, unit))
-            at += len(line) + 1
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    removed = U.repeated_units(docs)
-    assert sorted(tuple(r)[:6] for r in removed.collect()) == sorted(expected)
-    gone = {(d, u) for d, u, *_ in expected}
-    for r in U.remove_units(docs, removed).collect():
-        text = dict(rows)[r["doc_id"]]
-        stay = [line for u, line in enumerate(text.split("\n")) if (r["doc_id"], u) not in gone]
-        assert r["text"] == "\n".join(stay)
-        assert [text[s["start"]:s["end"]] for s in r["kept"]] == stay
+        for unit, start, end, words in brute_units(text, level):
+            key = tuple(words)
+            if key in seen:
+                expected.append((doc, unit, start, end, len(words), *seen[key]))
+            seen.setdefault(key, (doc, unit))
+    return expected
 
 
-def test_lines_of_odd_rows(spark, odd):
-    assert U.repeated_units(odd).count() == 0
+@pytest.mark.parametrize("level", ["paragraph", "line"])
+def test_units_match_brute_force(spark, level):
+    rng = random.Random(2)
+    pool = [sentence(k, 5 + k % 9) + rng.choice([".", "!", "..", ""]) for k in range(25)] + ["short line.", "", "\n", "同じ行。"]
+    rows = [(k, rng.choice(["\n", " ", "  "]).join(rng.choices(pool, k=rng.choice([1, 6, 14]))) + rng.choice(["", " \n"])) for k in range(60)]
+    rows += [(60, rows[3][1].replace(" ", "\n").upper()), (61, rows[4][1] + "\n\n" + rows[5][1])]
+    expected = brute_repeats(rows, level)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = U.repeated_units(docs, level=level)
+    assert sorted(tuple(r)[:7] for r in removed.collect()) == sorted(expected) and len(expected) > 20
+    for r in U.remove_units(docs, removed).collect():
+        text, gone = dict(rows)[r["doc_id"]], [(s, e) for d, _, s, e, *_ in expected if d == r["doc_id"]]
+        stay = [k for k in range(len(text)) if not any(s <= k < e for s, e in gone)]
+        assert r["text"] == "".join(text[k] for k in stay)
+        assert [k for s in r["kept"] for k in range(s["start"], s["end"])] == stay
+
+
+def test_rewrapped_passage_is_found(spark):
+    passage = [sentence(k, 9) + "." for k in range(7)]  # 63 words
+    rows = [(1, "Own words here. " + " ".join(passage) + " And more of its own."),
+            (2, "Other things are told first.\n" + "\n".join(passage).replace(" ", "\n", 9) + "\nThen it goes on."),
+            (3, " ".join(sentence(k + 50, 9) + "." for k in range(9)))]
+    removed = U.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in removed} == {2} and {r["kept_doc_id"] for r in removed} == {1}
+    text = rows[1][1]
+    gone = set().union(*[range(r["start"], r["end"]) for r in removed])
+    assert len(" ".join(passage)) - len(gone) <= 1 and text[min(gone):max(gone) + 1].split() == " ".join(passage).split()
+
+
+def test_units_of_odd_rows(spark, odd):
+    assert U.repeated_units(odd, level="line").count() == 0
     line = "one two three four five six seven eight nine"
     docs = spark.createDataFrame([(None, line), (1, line), (1, line), (2, None)], "doc_id long, text string")
-    removed = U.repeated_units(docs)
-    assert sorted((r["doc_id"], r["kept_doc_id"]) for r in removed.collect()) == [(1, None), (1, None)]
-    assert U.repeated_units(docs.limit(0)).count() == 0
+    for level in ("paragraph", "line"):
+        removed = U.repeated_units(docs, level=level)
+        assert sorted((r["doc_id"], r["kept_doc_id"]) for r in removed.collect()) == [(1, None), (1, None)]
+        assert U.repeated_units(docs.limit(0), level=level).count() == 0
+    clash = docs.withColumn("gone", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("kept", F.lit(2))
+    assert U.remove_units(clash, U.repeated_units(clash)).where("doc_id = 1 AND text = ''").count() == 2
 
 
 def test_short_lines_and_lines_without_spaces_are_removed(spark):
     rows = [(1, "les.\n\n同じ行がここにあります。\nand ornd."), (2, "Les.\n \n同じ行がここにあります。"), (3, "\nAnd   ornd.\nles.\nonly here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    removed = U.repeated_units(docs)
-    assert sorted(tuple(r)[:6] for r in removed.collect()) == [
+    removed = U.repeated_units(docs, level="line")
+    assert sorted(tuple(r)[:4] + tuple(r)[5:7] for r in removed.collect()) == [
         (2, 0, 0, 4, 1, 0), (2, 2, 7, 19, 1, 2), (3, 1, 1, 12, 1, 3), (3, 2, 13, 17, 1, 0)]
-    assert U.repeated_units(docs, min_words=2).select("doc_id", "unit").collect() == [(3, 1)]
+
+
+def test_registered_sql_of_units(spark):
+    import duckdb
+
+    from shopmill.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    engine = duckdb.connect()
+    engine.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = queries.op3_line_dedup(spark, folder)
+    want = engine.sql(queries.OP3_SQL).select(*[f'"{c}"' for c in got.columns])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
