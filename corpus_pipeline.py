@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of texts similar at 0.8 or more (five-word shingles) stays."""
+    """One document of each group of linked SimHash fingerprints stays (three-word shingles, three bits)."""
     return keep_one(docs)
 
 
