@@ -15,7 +15,7 @@ source that holds a third of all rows is not sorted in one task.
 
 Nulls: a null text has size zero, a null source is a source of its own and the
 last one, a null id is drawn by its text.  Empty sources have the target zero.
-Equal rows have equal ranks; which of them is taken makes no difference.
+Rows of one id and text have equal ranks; they are numbered, so that the mix can take a part of them.
 """
 
 from __future__ import annotations
@@ -79,6 +79,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         F.size(white_words(body)).cast("long").alias("size"),
         F.col(f"`{id}`").cast("string").alias("id"),
         _random(seed, F.col(f"`{id}`"), body).alias("random"),
+        F.monotonically_increasing_id().alias("row"),
     ), "mix")
     targets = materialize(source_targets(ranked.select("source", "size"), weights, budget, cap), "targets").select(
         F.col("source").alias("of"), "source_size", "target")
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     share = wanted - sure
     rank = (F.col("random") / (1 - F.col("random"))) / (share / (1 - share))
     plan = ranked.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "own", "id", "source", "size", "source_size", "target", sure.cast("long").alias("sure"),
+        "own", "id", "row", "source", "size", "source_size", "target", sure.cast("long").alias("sure"),
         (F.col("target") - sure * F.col("source_size")).alias("left"),
         F.when(share > 0, rank).alias("rank"))
     # rank / (1 + rank) runs from 0 to 1 and keeps the order.
@@ -105,17 +106,17 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     # Rows of the boundary's bin: taken while the sum is nearer to the target with the row than without it.
     at_edge = plan.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("edge"))).where("size > 0")
-    inside = Window.partitionBy("source").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source").orderBy("rank", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    last = at_edge.select("source", "rank", "id", "size", "left", start.alias("start")).where(
+    last = at_edge.select("source", "rank", "id", "size", "row", "left", start.alias("start")).where(
         F.col("start") + F.col("size") / 2 <= F.col("left"))
     last = materialize(last.groupBy(F.col("source").alias("of")).agg(
-        F.max(F.struct("rank", "id", "size")).alias("last")), "last")
+        F.max(F.struct("rank", "id", "size", "row")).alias("last")), "last")
 
     bounds = edge.join(
         last.withColumnRenamed("of", "of_last"), F.col("of").eqNullSafe(F.col("of_last")), "left").select(
             "of", "edge", "last")
-    here = F.struct("rank", "id", "size")
+    here = F.struct("rank", "id", "size", "row")
     more = F.when(F.col("rank").isNull(), F.lit(0)).when(
         F.col("edge").isNull(), F.when(F.col("left") > 0, 1).otherwise(0)).when(
         F.col("bin") < F.col("edge"), 1).when(
