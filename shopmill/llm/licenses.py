@@ -74,7 +74,7 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]
         F.array(F.lit("")), F.array_intersect(license_words(F.col(f"`{text}`")), known))).alias("word"))
     counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = counts.get("", 0)
-    return {w: math.log((1 + rows) / (1 + counts.get(w, 0))) for w in vocabulary()}
+    return {w: math.log(1 + (1 + rows) / (1 + counts.get(w, 0))) for w in vocabulary()}  # positive for any table
 
 
 def _rarest(words: list[str], idf: dict[str, float]) -> int:

@@ -241,6 +241,23 @@ def test_targets_and_mix(spark, seed):
     assert copies == {r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]}
 
 
+@pytest.mark.parametrize("id", [7, None])
+def test_mix_takes_a_part_of_equal_rows(spark, id):
+    docs = spark.createDataFrame([(id, "one two three four", "s")] * 1000, "doc_id long, text string, source string")
+    rows = M.mix(docs, own=["doc_id"]).collect()
+    assert {r["target"] for r in rows} == {6000.0} and sum(r["taken"] for r in rows) == 6000
+    assert sorted({r["taken"] for r in rows}) == [4, 8]
+
+
+def test_license_of_a_single_document(spark):
+    text = "This program is free software under the GNU General Public License version 3"
+    alone = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    beside = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    one = L.scan(alone, own=["doc_id"]).select("labels", "score").first()
+    two = L.scan(beside, own=["doc_id"]).where("own.doc_id = 1").select("labels", "score").first()
+    assert one["labels"] == two["labels"] and (one["score"] > 0) == (two["score"] > 0)
+
+
 def test_mix_of_odd_rows(spark, odd):
     got = M.mix(odd, own=["doc_id", "size"]).collect()
     assert len(got) == len(ODD)
