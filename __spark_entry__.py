@@ -22,7 +22,8 @@ from shopmill.plans.warehouse import (  # noqa: E402
     Warehouse, build_marts, operations_marts, product_seller_marts,
 )
 from shopmill.sources import samples  # noqa: E402
-from shopmill.sources.scratch import scratch_folder  # noqa: E402
+from shopmill.sources.meter import Meter  # noqa: E402
+from shopmill.sources.scratch import materialize, scratch_folder  # noqa: E402
 from shopmill.sources.writers import export_marts, table_row_counts  # noqa: E402
 
 try:
@@ -37,61 +38,37 @@ SMOKE_FOLDER = "/root/testdata/sf0.001"
 class Sample(Warehouse):
     """The warehouse over one folder of sample tables."""
 
-    _models: dict[tuple[str, str, bool], dict[str, DataFrame]] = {}
+    _stored: dict[tuple, tuple[dict[str, DataFrame], Meter]] = {}
 
     def __init__(self, spark: SparkSession, folder: str, keyed: bool = True):
         super().__init__(samples.raw_tables(spark, folder, keyed))
         self.spark, self.folder, self.keyed = spark, folder, keyed
 
+    def _once(self, what: str, build: Callable[[Meter], dict[str, DataFrame]]) -> tuple[dict[str, DataFrame], Meter]:
+        """Tables written once for each session and state of the folder, and what was counted on the way."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.folder)
+        state = files.agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()[0]
+        key = (self.spark.sparkContext.applicationId, self.folder, state, self.keyed, what)
+        if key not in Sample._stored:
+            meter = Meter(materialize, V.TABLE_MEASURES)
+            Sample._stored[key] = build(meter), meter
+        return Sample._stored[key]
+
     @property
     def stored_model(self) -> dict[str, DataFrame]:
-        """The six model tables, written once per session and folder.
+        """The six model tables.
 
         Validators compare many aggregates of the same tables, so they run over
         the stored tables, as they would in production, not over the whole lineage.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, self.keyed)
-        if key not in Sample._models:
-            Sample._models[key] = self.store()
-        return Sample._models[key]
-
-
-def _tables(w: Sample) -> dict[str, DataFrame]:
-    return {**w.stored_model, **build_marts(w.stored_model)}
-
-
-def _expected_rows(w: Sample) -> dict[str, DataFrame | int]:
-    """Row counts every table must have, from the cleaned tables and the facts' keys."""
-    c, model = w.clean, w.stored_model
-    items, orders = model["fact_order_items"], model["fact_orders"]
+        return self._once("model", self.store)[0]
 
-    def keys(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(*columns).distinct()
-
-    people = keys(c["customers"], "customer_unique_id")
-    return {
-        "fact_order_items": c["order_items"],
-        "agg_order_items": keys(c["order_items"], "order_id"),
-        "agg_order_payments": keys(c["payments"], "order_id"),
-        "agg_order_reviews": keys(c["reviews"], "order_id"),
-        "fact_orders": c["orders"],
-        "dim_customers": people,
-        "customer_rfm": people,
-        "category_performance": keys(items, "product_category"),
-        "product_performance": keys(items, "product_id"),
-        "seller_performance": keys(items, "seller_id"),
-        "seller_category_performance": keys(items, "seller_id", "product_category"),
-        "seller_state_performance": keys(items, "seller_state"),
-        "operations_summary": 1,
-        "monthly_operations": keys(orders, "order_purchase_month"),
-        "customer_state_operations": keys(c["customers"], "customer_state"),
-        "delivery_review_performance": 3,
-        "review_score_distribution": 5,
-        "category_operations": keys(items, "product_category"),
-        "seller_delivery_performance": keys(items, "seller_id"),
-        "seller_state_operations": keys(items, "seller_state"),
-        "dim_date": D.date_series(orders),
-    }
+    def warehouse(self) -> tuple[dict[str, DataFrame], dict[str, dict]]:
+        """All stored tables of the finished warehouse, and what was counted while they were written."""
+        model, counts = self._once("model", self.store)
+        marts, more = self._once("marts", lambda meter: {
+            name: meter(df, name) for name, df in build_marts(model).items()})
+        return {**model, **marts}, {**counts.counted, **more.counted}
 
 
 def _safe_percentage(w: Sample) -> DataFrame:
@@ -107,14 +84,19 @@ def _model_validation(w: Sample) -> DataFrame:
 
 
 def _export(w: Sample) -> DataFrame:
-    return export_marts(w.spark, _tables(w), f"{scratch_folder(w.spark)}/export")
+    return export_marts(w.spark, w.warehouse()[0], f"{scratch_folder(w.spark)}/export")
+
+
+def _catalog_validation(w: Sample) -> DataFrame:
+    tables, counted = w.warehouse()
+    return V.catalog_validation(tables, V.expected_counts(w.clean, w.stored_model), counted=counted)
 
 
 # Queries over the keyed sample tables.
 QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     # sinks and counts
     "export_marts": _export,
-    "table_row_counts": lambda w: table_row_counts(w.model),
+    "table_row_counts": lambda w: table_row_counts(w.stored_model),
     # cleaning
     "clean_string": lambda w: C.clean_string(
         w.raw["reviews"], "review_comment_title", "review_comment_message",
@@ -251,7 +233,7 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "derived_field_recompute": lambda w: V.derived_field_recompute(w.clean),
     "processed_data_validation": lambda w: V.processed_data_validation(w.raw, w.clean),
     "model_validation": _model_validation,
-    "catalog_validation": lambda w: V.catalog_validation(_tables(w), _expected_rows(w)),
+    "catalog_validation": _catalog_validation,
     "grain_check": lambda w: V.grain_check(w.stored_model),
     "sales_reconciliation": lambda w: V.sales_reconciliation(
         w.stored_model, w.raw["orders"], w.raw["customers"].select("customer_unique_id").distinct()),

@@ -15,12 +15,14 @@ from shopmill.functions import exprs as X
 from shopmill.operators.cleaning import CLEANERS, LIFECYCLE_FLAGS
 from shopmill.operators.guards import fail_on_failures  # noqa: F401  (part of this API)
 from shopmill.plans.checks import (
-    Check, check_rows, key_measures, one_row, orphan_measures, row_count, union_all, verdict,
+    Check, check_rows, key_measures, key_sizes, one_row, orphan_measures, row_count, union_all, verdict,
 )
 from shopmill.plans.investigate import ITEM_IDENTITY, ITEM_KEY
 from shopmill.plans.quality import FOREIGN_KEYS, PRIMARY_KEYS, REVIEW_SCORES, exact_duplicate_rows
 
 Tables = Mapping[str, DataFrame]
+#: What was observed while tables were written: `rows` and the measures of `TABLE_MEASURES`.
+Counted = Mapping[str, Mapping[str, int | float]]
 COUNT = ("count",)
 
 # The tables of the finished warehouse.
@@ -241,15 +243,26 @@ def grain_check(model: Tables) -> DataFrame:
     return check_rows(grain_measures(model), _grain_checks())
 
 
-def _money_measures(model: Tables) -> list[DataFrame]:
-    return [
-        model["fact_order_items"].agg(
-            _total("item_revenue").alias("detail_revenue"), _total("item_freight").alias("detail_freight")),
-        model["agg_order_items"].agg(
-            _total("product_revenue").alias("agg_revenue"), _total("freight_value").alias("agg_freight"),
-            F.coalesce(F.sum("item_count"), F.lit(0)).alias("agg_item_count")),
-        model["fact_orders"].agg(F.count_if("has_items").alias("with_items")),
-    ]
+#: What the checks need of a table besides its rows; may be observed while the table is written.
+TABLE_MEASURES = {
+    "fact_order_items": lambda: [
+        _total("item_revenue").alias("detail_revenue"), _total("item_freight").alias("detail_freight")],
+    "agg_order_items": lambda: [
+        _total("product_revenue").alias("agg_revenue"), _total("freight_value").alias("agg_freight"),
+        F.coalesce(F.sum("item_count"), F.lit(0)).alias("agg_item_count")],
+    "fact_orders": lambda: [F.count_if("has_items").alias("with_items")],
+}
+
+
+def _money_measures(model: Tables, counted: Counted | None = None) -> list[DataFrame]:
+    """One row for each table with measures, from its write where that was observed."""
+    counted = counted or {}
+    known = [F.lit(value).alias(name) for table in TABLE_MEASURES if table in counted
+             for name, value in counted[table].items() if name != "rows"]
+    frames = [model[t].agg(*measures()) for t, measures in TABLE_MEASURES.items() if t not in counted]
+    if known:
+        frames.append(model["agg_order_items"].sparkSession.range(1).select(*known))
+    return frames
 
 
 def _money_text(detail: str, aggregated: str) -> Column:
@@ -293,23 +306,72 @@ def model_validation(model: Tables, expected_rows: Mapping[str, DataFrame | int]
     ])
 
 
+def expected_counts(clean: Tables, model: Tables) -> DataFrame:
+    """One row: the row count that each warehouse table must have, as `expected_<table>`.
+
+    Each source is read once; all distinct counts of a fact share one aggregate, whose
+    first level is partitioned by value, so a hot value is spread over all tasks.
+    """
+    items, orders = model["fact_order_items"], model["fact_orders"]
+
+    def distinct(table: str, *columns: Column | str) -> Column:
+        # A missing value is a group of its own.
+        return F.count_distinct(F.struct(*columns)).alias(f"expected_{table}")
+
+    def sizes(table: str, name: str) -> DataFrame:
+        known = key_sizes(clean[table], "order_id")
+        return known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"{table}_rows"),
+                         F.count("order_id").alias(f"expected_{name}"))
+
+    person, day = _c("customer_unique_id"), _c("order_purchase_date")
+    scored = F.rint("average_review_score")
+    return one_row(
+        sizes("order_items", "agg_order_items"), sizes("payments", "agg_order_payments"), sizes("reviews", "agg_order_reviews"),
+        row_count(clean["orders"], "expected_fact_orders"),
+        items.agg(
+            distinct("category_performance", "product_category"), distinct("product_performance", "product_id"),
+            distinct("seller_performance", "seller_id"),
+            distinct("seller_category_performance", "seller_id", "product_category"),
+            distinct("seller_state_performance", "seller_state")),
+        orders.agg(
+            F.count_distinct(person).alias("expected_dim_customers"),
+            distinct("monthly_operations", "order_purchase_month"),
+            distinct("customer_state_operations", "customer_state"), distinct("delivery_review_performance", "is_late"),
+            F.count_distinct(scored).alias("expected_review_score_distribution"),
+            F.coalesce(F.datediff(F.max(day), F.min(day)) + 1, F.lit(0)).cast("bigint").alias("expected_dim_date")),
+    ).withColumns({
+        "expected_fact_order_items": _c("order_items_rows"),
+        "expected_customer_rfm": _c("expected_dim_customers"),
+        "expected_operations_summary": F.lit(1).cast("bigint"),
+        "expected_category_operations": _c("expected_category_performance"),
+        "expected_seller_delivery_performance": _c("expected_seller_performance"),
+        "expected_seller_state_operations": _c("expected_seller_state_performance"),
+    })
+
+
 def catalog_validation(
     tables: Tables,
-    expected_rows: Mapping[str, DataFrame | int],
+    expected_rows: Mapping[str, DataFrame | int] | DataFrame,
     listed: Collection[str] | None = None,
+    counted: Counted | None = None,
 ) -> DataFrame:
     """All warehouse tables: presence, row counts, grains, totals.
 
-    `listed` are the names found in the catalog (default: the tables passed).
+    `expected_rows` are tables or numbers by name, or the row of `expected_counts`.  `listed` are the names found in
+    the catalog (default: the tables passed).  Tables in `counted` are not read again for their rows and totals.
     """
+    counted = counted or {}
     listed = set(tables if listed is None else listed)
     missing = sorted(set(CATALOG_TABLES) - listed)
     unexpected = sorted(listed - set(CATALOG_TABLES))
     like = tables["agg_order_items"]
+    known = [F.lit(counted[t]["rows"]).cast("bigint").alias(f"actual_{t}") for t in CATALOG_TABLES if t in counted]
+    expected = [expected_rows] if isinstance(expected_rows, DataFrame) else [
+        _rows(expected_rows[t], f"expected_{t}", like) for t in CATALOG_TABLES]
     measures = one_row(
-        grain_measures(tables), *_money_measures(tables),
-        *[row_count(tables[t], f"actual_{t}") for t in CATALOG_TABLES],
-        *[_rows(expected_rows[t], f"expected_{t}", like) for t in CATALOG_TABLES],
+        grain_measures(tables), *_money_measures(tables, counted),
+        like.sparkSession.range(1).select(F.lit(1).alias("one"), *known),
+        *[row_count(tables[t], f"actual_{t}") for t in CATALOG_TABLES if t not in counted], *expected,
     )
     number = X.grouped_number
     return check_rows(measures, [

@@ -17,6 +17,7 @@ from shopmill.operators import model as M
 from shopmill.operators.cleaning import clean_all
 from shopmill.operators.guards import fail_on_failures, join_cardinality_guard, require_unique
 from shopmill.plans import calendar, investigate, operations, products, quality, rfm, sales, validate
+from shopmill.sources.meter import Meter
 from shopmill.sources.scratch import materialize
 from shopmill.sources.writers import export_marts, save_csv, save_folder, stored_tables
 
@@ -218,44 +219,6 @@ def presentation_tables(model: Mapping[str, DataFrame], marts: Mapping[str, Data
     }
 
 
-def expected_rows(clean: Mapping[str, DataFrame], model: Mapping[str, DataFrame]) -> dict[str, DataFrame | int]:
-    """For each warehouse table, a table or number it must have as many rows as."""
-    items, orders = model["fact_order_items"], model["fact_orders"]
-
-    def keys(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(*columns).distinct()
-
-    def known(table: str, key: str) -> DataFrame:
-        return keys(clean[table].where(F.col(key).isNotNull()), key)
-
-    # People come from the orders: a customer without one is not in the dimension.
-    people = keys(orders.where("customer_unique_id IS NOT NULL"), "customer_unique_id")
-    return {
-        "fact_order_items": clean["order_items"],
-        "agg_order_items": known("order_items", "order_id"),
-        "agg_order_payments": known("payments", "order_id"),
-        "agg_order_reviews": known("reviews", "order_id"),
-        "fact_orders": clean["orders"],
-        "dim_customers": people,
-        "customer_rfm": people,
-        "category_performance": keys(items, "product_category"),
-        "product_performance": keys(items, "product_id"),
-        "seller_performance": keys(items, "seller_id"),
-        "seller_category_performance": keys(items, "seller_id", "product_category"),
-        "seller_state_performance": keys(items, "seller_state"),
-        "operations_summary": 1,
-        "monthly_operations": keys(orders, "order_purchase_month"),
-        "customer_state_operations": keys(orders, "customer_state"),
-        "delivery_review_performance": keys(orders, "is_late"),
-        "review_score_distribution": orders.where("average_review_score IS NOT NULL").select(
-            F.rint("average_review_score")).distinct(),
-        "category_operations": keys(items, "product_category"),
-        "seller_delivery_performance": keys(items, "seller_id"),
-        "seller_state_operations": keys(items, "seller_state"),
-        "dim_date": calendar.date_series(orders),
-    }
-
-
 def build_all(
     spark: SparkSession,
     raw: Mapping[str, DataFrame],
@@ -289,18 +252,21 @@ def build_all(
 
     house = Warehouse(raw, clean)
     house.require_unique_keys()
-    model = house.store(saved("model"))
+    meter = Meter(saved("model"), validate.TABLE_MEASURES)
+    model = house.store(meter)
     fail_on_failures(report(validate.model_validation(
         model, {"fact_order_items": clean["order_items"], "fact_orders": clean["orders"]}),
         "analytical_layer_validation"), "model")
 
-    marts = {name: saved("marts")(df, name) for name, df in build_marts(model, reference_date).items()}
+    meter.save = saved("marts")
+    marts = {name: meter(df, name) for name, df in build_marts(model, reference_date).items()}
     items, orders = model["fact_order_items"], model["fact_orders"]
     listed = stored_tables(spark, f"{folder}/marts")
     people = clean["customers"].select("customer_unique_id").where("customer_unique_id IS NOT NULL").distinct()
     gates = {
         "catalog": validate.catalog_validation(
-            {**model, **marts}, expected_rows(clean, model), [*stored_tables(spark, f"{folder}/model"), *listed]),
+            {**model, **marts}, validate.expected_counts(clean, model),
+            [*stored_tables(spark, f"{folder}/model"), *listed], meter.counted),
         "sales": validate.sales_reconciliation(model, clean["orders"], people),
         "product_seller": validate.product_seller_validation(items, marts, listed),
         "operations": validate.operations_validation(items, orders, marts, listed),

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shopmill.sources.meter import Meter, rows_written
+
 
 def save_folder(df: DataFrame, folder: str, name: str, partition_by: Sequence[str] = ()) -> str:
     """Replace the parquet table `folder/name`."""
@@ -76,13 +78,16 @@ SINGLE_FILE_TABLES = frozenset((
 
 
 def export_marts(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Write the export tables as CSV and report their row counts from the files."""
+    """Write the export tables as CSV; (table_name, row_count) of what was written, counted while writing."""
     missing = [name for name in EXPORT_TABLES if name not in tables]
     if missing:
         raise ValueError(f"tables missing from the export: {missing}")
-    written = {}
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        save_csv(df, f"{folder.rstrip('/')}/{name}", name in SINGLE_FILE_TABLES)
+        return df
+
+    meter = Meter(save)
     for name in EXPORT_TABLES:
-        path = save_csv(tables[name], f"{folder.rstrip('/')}/{name}", name in SINGLE_FILE_TABLES)
-        # The values hold no line breaks, so a count needs no multi-line parsing.
-        written[name] = spark.read.schema(tables[name].schema).option("header", True).csv(path)
-    return table_row_counts(written)
+        meter(tables[name], name)
+    return rows_written(spark, meter.counted)
