@@ -104,38 +104,58 @@ def safe_percentage(part: Column | str, total: Column | str) -> Column:
 
 
 # --- exact sums and means -------------------------------------------------------
-# Values with a fixed number of digits are summed as whole numbers in decimals, so
-# the result does not depend on the order in which tasks deliver their partial
-# sums and no sum overflows.  Amounts from MONEY_LIMIT on do not fit; they are left
-# out of sums, and `numeric_quality` reports them as failures.
+# An amount with a fixed number of digits is its whole part and its units behind the point, each summed in a
+# BIGINT: results do not depend on the order in which tasks deliver their partial sums, and partial
+# aggregation stays on primitive numbers.  Amounts from MONEY_LIMIT on (and what is not finite) are left out of sums,
+# means and their counts alike, and `numeric_quality` reports them as failures.  A total beyond 9.2e18 is NULL.
 
 MONEY_LIMIT = 1e15
 
 
-def as_units(c: Column | str, digits: int = 2) -> Column:
-    return F.rint(col(c) * F.lit(float(10 ** digits))).try_cast("decimal(28,0)")
+def usable_amount(c: Column | str) -> Column:
+    return F.abs(col(c)) < F.lit(MONEY_LIMIT)
 
 
 def unusable_amount(c: Column) -> Column:
     return (c < 0) | (c >= F.lit(MONEY_LIMIT))
 
 
+def as_units(c: Column | str, digits: int = 2) -> Column:
+    """A usable amount in whole units, for sums that are built in several steps."""
+    c = col(c)
+    return F.when(usable_amount(c), F.rint(c * F.lit(float(10 ** digits)))).cast("decimal(28,0)")
+
+
+def _total(c: Column, digits: int, weight: Column | None = None) -> Column:
+    """Aggregate: the exact sum, rounded to a double once."""
+    scale = 10 ** digits
+    kept = F.when(usable_amount(c), c)
+    whole = F.floor(kept)
+    units = F.rint((kept - whole.cast("double")) * F.lit(float(scale))).cast("bigint")
+    if weight is not None:
+        whole, units = whole * weight, units * weight
+    whole, units = F.try_sum(whole), F.try_sum(units)
+    wide = whole.cast("decimal(38,0)") * F.lit(scale).cast("decimal(9,0)") + units.cast("decimal(38,0)")
+    fits = F.abs(whole) < F.lit(2 ** 52 // scale)
+    exact = F.when(fits, (whole * F.lit(scale) + units).cast("double")).otherwise(wide.cast("double"))
+    return exact / F.lit(float(scale))
+
+
 def exact_sum(c: Column | str, digits: int = 2) -> Column:
     """Sum over the non-NULL values, NULL when there are none."""
-    return F.sum(as_units(c, digits)).cast("double") / F.lit(float(10 ** digits))
+    return _total(col(c), digits)
 
 
 def exact_mean(c: Column | str, digits: int = 2) -> Column:
-    """Unrounded mean over the non-NULL values, NULL when there are none."""
+    """Unrounded mean over the values that are summed, NULL when there are none."""
     c = col(c)
-    return exact_sum(c, digits) / F.nullif(F.count(c), F.lit(0)).cast("double")
+    return exact_sum(c, digits) / F.nullif(F.count_if(usable_amount(c)), F.lit(0)).cast("double")
 
 
 def exact_weighted_mean(c: Column | str, weight: Column | str, digits: int = 2) -> Column:
-    """Mean of the non-NULL values, each counted `weight` times."""
+    """Mean of the values that are summed, each counted `weight` times."""
     c, w = col(c), col(weight)
-    total = F.sum(as_units(c, digits) * w).cast("double") / F.lit(float(10 ** digits))
-    return total / F.sum(F.when(c.isNotNull(), w)).cast("double")
+    return _total(c, digits, w) / F.nullif(F.sum(F.when(usable_amount(c), w)), F.lit(0)).cast("double")
 
 
 # --- time -------------------------------------------------------------------------

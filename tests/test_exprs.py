@@ -71,3 +71,29 @@ def test_report_texts(one):
     assert one(X.plain_money(F.lit(13591643.7)), X.plain_money(F.lit(100.0)), X.plain_money(F.lit(0.25))) == (
         "13591643.7", "100.0", "0.25")
     assert one(X.text(F.lit(1), F.lit(None).cast("int"), F.lit(3))) == ("13",)
+
+
+def test_sums_and_means_leave_out_the_same_amounts(spark):
+    rows = [("a", 10.0, 1), ("a", 1e300, 3), ("a", float("nan"), 1), ("a", None, 2), ("b", 1e16, 1), ("c", None, 1),
+            ("d", 0.1, 2), ("d", 0.2, 1), ("d", -0.7, 4), ("e", 9.99e14, 1), ("e", 0.01, 1), ("e", -123456789.12, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, w long").groupBy("k").agg(
+        X.exact_sum("v").alias("s"), X.exact_mean("v").alias("m"), X.exact_weighted_mean("v", "w").alias("p"))
+    got = {r["k"]: (r["s"], r["m"], r["p"]) for r in df.collect()}
+    assert got["a"] == (10.0, 10.0, 10.0)
+    assert got["b"] == got["c"] == (None, None, None)
+    assert got["d"] == (-0.4, -0.4 / 3, -2.4 / 7)
+    assert got["e"][0] == (99900000000000000 + 1 - 12345678912) / 100
+
+
+def test_large_totals(spark):
+    df = spark.range(20_000).select(F.lit(9e14).alias("v"))
+    assert df.limit(10_000).agg(X.exact_sum("v")).first()[0] == 9e18
+    assert df.agg(X.exact_sum("v"), X.exact_mean("v")).first()[:] == (None, None)
+    many = spark.range(100_000).select((F.col("id") % 1000 / 100.0 - 3).alias("v"))
+    assert many.agg(X.exact_sum("v")).first()[0] == sum(k % 1000 - 300 for k in range(100_000)) / 100
+
+
+def test_eight_digits(spark):
+    df = spark.createDataFrame([(0.12345678,), (1234567.00000001,), (5e14,)], "v double")
+    assert df.agg(X.exact_sum("v", 8)).first()[0] == pytest.approx(5e14 + 1234567.12345679, abs=0.1)
+    assert df.where("v < 1e14").agg(X.exact_sum("v", 8)).first()[0] == 123456712345679 / 1e8
