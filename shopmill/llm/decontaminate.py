@@ -1,18 +1,22 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are normalised to lower case, with every run of ASCII
-characters other than letters and digits as one space.  An item is cut into
-overlapping passages.  A passage of m characters within k edits of a region of a
-text shares at least m - q + 1 - k * q q-grams with it, on diagonals that are at
-most k apart.  Shared q-grams are counted in overlapping bands of diagonals, each
+characters other than letters and digits as one space.  Every item is cut into
+overlapping passages of ``PASSAGE`` characters, one every ``STEP``, and one up to
+``WHOLE`` characters is searched as a whole too, so a quote of part of an item is
+found like the item itself.  A passage of m characters within k edits of a region
+of a text shares at least m - q + 1 - k * q q-grams with it, on diagonals that are
+at most k apart.  Shared q-grams are counted in overlapping bands of diagonals, each
 2k + 2 wide; a band that meets the bound is verified by banded alignment.
 
 The q-gram index is sent to the tasks in parts of at most ``PART_CHARS`` characters
 of benchmark text, whatever the benchmark's size: a larger one takes more passes
 over the texts, never a larger broadcast.  Texts are not shuffled at all.
 
-Nulls and empty texts match nothing.  Items whose normalised form is under
-``MIN_CHARS`` characters are not searched.  Equal items are reported each.
+Nulls, empty texts and items without letters or digits match nothing.  An item under
+``SHORT`` normalised characters must stand in the text exactly and as whole words;
+one without a q-gram is looked up among the runs of words that are as short.
+Equal items are reported each.
 Offsets are code points of the text as it came in, end exclusive.
 """
 
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame, functions as F
 
 Q = 8
 EDIT_RATE = 0.08
-MIN_CHARS = 24
-PASSAGE, STEP = 96, 48
-PART_CHARS = 4 << 20
+SHORT = 24
+PASSAGE, STEP = 48, 16
+WHOLE = 144
+PART_CHARS = 1 << 20
 SEGMENT = 1 << 18
+HITS = 1 << 21
 
 _TABLE = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 _FILTER_BITS = 20
@@ -53,6 +59,12 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
     return mapped[keep], keep, raw
 
 
+def _trimmed(chars: np.ndarray) -> np.ndarray:
+    """Without the space that punctuation leaves at an end."""
+    full = np.flatnonzero(chars != 32)
+    return chars[full[0]:full[-1] + 1] if len(full) else chars[:0]
+
+
 def _grams(text: np.ndarray) -> np.ndarray:
     """The q bytes at every position as one number."""
     text = np.ascontiguousarray(text)
@@ -79,32 +91,42 @@ class Index:
     place: np.ndarray
     filter: np.ndarray
     reach: int  # no region is longer
+    tiny: dict[bytes, list[int]]  # items without a q-gram
+
+
+def _cuts(chars: np.ndarray) -> list[np.ndarray]:
+    """The passages that an item is searched by."""
+    last = len(chars) - PASSAGE
+    if last <= 0:
+        return [chars]
+    cuts = [chars[at:at + PASSAGE] for at in [*range(0, last, STEP), last]]
+    return [chars, *cuts] if len(chars) < WHOLE else cuts
 
 
 def build_index(items: list[tuple[int, str]]) -> Index | None:
-    numbers, passages = [], []
+    numbers, passages, tiny = [], [], {}
     for number, text in items:
-        chars = normalise(text or "")[0]
-        if len(chars) < MIN_CHARS:
-            continue
-        starts = [0] if len(chars) < PASSAGE + STEP else [*range(0, len(chars) - PASSAGE, STEP), len(chars) - PASSAGE]
-        for at in starts:
-            numbers.append(number)
-            passages.append(np.ascontiguousarray(chars[at:at + PASSAGE] if len(starts) > 1 else chars))
-    if not passages:
+        chars = _trimmed(normalise(text or "")[0])
+        if len(chars) >= Q:
+            cuts = _cuts(chars)
+            numbers += [number] * len(cuts)
+            passages += map(np.ascontiguousarray, cuts)
+        elif len(chars):
+            tiny.setdefault(chars.tobytes(), []).append(number)
+    if not passages and not tiny:
         return None
-    lengths = np.array([len(p) for p in passages])
-    edits = (lengths * EDIT_RATE).astype(np.int64)
+    lengths = np.array([len(p) for p in passages], np.int64)
+    edits = np.where(lengths < SHORT, 0, (lengths * EDIT_RATE).astype(np.int64))
     bound = np.maximum(lengths - Q + 1 - edits * Q, 1)
-    grams = np.concatenate([_grams(p) for p in passages])
+    grams = np.concatenate([np.zeros(0, np.uint64), *(_grams(p) for p in passages)])
     passage = np.repeat(np.arange(len(passages)), lengths - Q + 1)
-    place = np.concatenate([np.arange(n) for n in lengths - Q + 1])
+    place = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in lengths - Q + 1)])
     order = np.argsort(grams, kind="stable")
     distinct, first = np.unique(grams[order], return_index=True)
     known = np.zeros(1 << _FILTER_BITS, bool)
     known[_slot(distinct)] = True
-    return Index(np.array(numbers), passages, edits, bound, distinct, np.append(first, len(grams)),
-                 passage[order], place[order], known, int((lengths + 2 * edits).max()) + 2)
+    return Index(np.array(numbers, np.int64), passages, edits, bound, distinct, np.append(first, len(grams)),
+                 passage[order], place[order], known, int((lengths + 2 * edits).max(initial=0)) + 2, tiny)
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -143,6 +165,12 @@ def _regions(index: Index, text: np.ndarray) -> Iterator[tuple[int, int, int, in
     if not len(at):
         return
     count = index.first[found + 1] - index.first[found]
+    if count.sum() > HITS and len(text) > 4 * index.reach:
+        half = len(text) // 2
+        yield from _regions(index, text[:half + index.reach])
+        for p, start, end, edits in _regions(index, text[half:]):
+            yield p, start + half, end + half, edits
+        return
     run = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     posting = np.repeat(index.first[found], count) + run
     passage = index.passage[posting]
@@ -176,13 +204,34 @@ def _regions(index: Index, text: np.ndarray) -> Iterator[tuple[int, int, int, in
             yield p, start + end - length, start + end, edits
 
 
+def _tiny_runs(index: Index, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of items without a q-gram, which are runs of a few short words."""
+    words = text.tobytes().split(b" ")
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    for first, word in enumerate(words):
+        start = int(ends[first]) - len(word)
+        for end in ends[first:first + Q // 2].tolist():
+            if end - start >= Q:
+                break
+            for item in index.tiny.get(text[start:end].tobytes(), ()):
+                yield item, start, end
+
+
+def _whole_words(chars: np.ndarray, start: int, end: int) -> bool:
+    return (not start or chars[start - 1] == 32) and (end == len(chars) or chars[end] == 32)
+
+
 def leaks(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     """(item, start, end, edits): stretches of a text that hold passages of an item, in code points."""
     chars, keep, raw = normalise(text)
     spans: dict[int, set[tuple[int, int, int]]] = {}
     for at in range(0, max(len(chars), 1), SEGMENT):
         for p, start, end, edits in _regions(index, chars[at:at + SEGMENT + index.reach]):
-            spans.setdefault(int(index.items[p]), set()).add((at + start, at + end, edits))
+            if len(index.passages[p]) >= SHORT or _whole_words(chars, at + start, at + end):
+                spans.setdefault(int(index.items[p]), set()).add((at + start, at + end, edits))
+    if index.tiny and len(chars):
+        for item, start, end in _tiny_runs(index, chars):
+            spans.setdefault(item, set()).add((start, end, 0))
     rows = []
     places = np.flatnonzero(keep) if spans else keep
     for item, found in sorted(spans.items()):
@@ -225,7 +274,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
 
     def search(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = sent.value  # at most PART_CHARS characters and an item
             for batch in batches:
                 rows = [(doc, *leak) for doc, body in zip(batch.column(0).to_pylist(), batch.column(1))
                         for leak in leaks(index, body.as_py() or "")]

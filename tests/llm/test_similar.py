@@ -174,6 +174,53 @@ def test_leaks_within_the_budget_are_found_and_others_not(spark):
     assert kept == {k for k, _ in rows} - {d for d, _ in expected}
 
 
+def test_quotes_of_parts_of_items_and_short_items():
+    item = "Which of the two rivers that cross the old town carries more water in spring, the northern or the southern one?"
+    index = D.build_index([(1, item), (2, "What is two plus two?"), (3, "Ox 7"), (4, "..."), (5, item * 3)])
+    find = lambda text: [(i, text[a:b], k) for i, a, b, k in D.leaks(index, text)]
+    for cut in range(0, len(item) - 70, 5):
+        quote = item[cut:cut + 70]
+        (one, span, k), (five, _, _) = find(f"zzz zzz {quote} zzz zzz")
+        # a passage that begins or ends just outside the quote still is within its three edits
+        assert (one, five) == (1, 5) and k <= 3 and span[3:-3] in quote and len(span) >= 45
+    assert find("He asked: WHAT is  two plus two") == [(2, "WHAT is  two plus two", 0)]
+    assert not find("xwhat is two plus two") and not find("what is two plus twos") and not find("what is ten plus two")
+    assert find("an ox 7, or box 7 or ox 77; OX-7") == [(3, "ox 7", 0), (3, "OX-7", 0)]
+    assert not find("") and not find("...")
+
+
+def test_search_agrees_with_brute_force():
+    rng, found = random.Random(5), 0
+    items = [(k, "".join(rng.choices("ab ", k=n)).strip()) for k, n in enumerate((9, 14, 23, 30, 47, 48, 49, 60, 100))]
+    index = D.build_index(items)
+    for k in range(120):
+        source = D._trimmed(D.normalise(items[k % len(items)][1])[0]).tobytes().decode()
+        piece = list(source)
+        for at in rng.sample(range(len(piece)), k % 5):
+            piece[at] = "c"
+        text = D.normalise("dd " + "".join(piece) + " dd")[0].tobytes().decode()
+        hits = {i for i, *_ in D.leaks(index, text)}
+        for number, body in items:
+            chars = D._trimmed(D.normalise(body)[0])
+            expected = any(
+                f" {p} " in f" {text} " if len(p) < D.SHORT else edits(p, text) <= int(len(p) * D.EDIT_RATE)
+                for p in (c.tobytes().decode() for c in D._cuts(chars)))
+            assert (number in hits) == expected, (items[number], text)
+            found += expected
+    assert found > 60
+
+
+def test_common_grams_are_searched_in_halves(monkeypatch):
+    index = D.build_index([(1, "na " * 40 + "batman")])
+    text = "x " * 300 + "na " * 400 + "batman " + "y " * 300
+    whole = D.leaks(index, text)
+    monkeypatch.setattr(D, "HITS", 64)
+    # bands begin elsewhere in a half, so the ends of inexact regions may move within the budget
+    (item, start, end, _), = D.leaks(index, text)
+    assert [(item, start)] == [w[:2] for w in whole] and abs(end - whole[0][2]) <= 10
+    assert "batman" in text[start:end]
+
+
 def test_offsets_beyond_ascii_and_over_segments(monkeypatch):
     index = D.build_index([(1, "äöü the quick brown fox jumps over the lazy dog ß")])
     text = "é" * 300 + ". ÄÖÜ the Quick, brown fox jumps over the lazy dog ß! " + "日本" * 40
