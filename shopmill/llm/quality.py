@@ -1,8 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, and a posterior replaces all-must-pass filtering.
 
-``measure`` counts, ``rule_votes`` turns counts into votes, ``weak.fit`` learns from
-the histogram of vote patterns over all rows what each rule's vote is worth,
-and a text is kept if its posterior probability of being good is at least one
+``measure`` counts, ``rule_votes`` turns counts into votes, ``weak.fit_kinds`` learns from
+the histogram of vote patterns over all rows what each rule's vote is worth in either
+direction for good text and for each kind of bad text, and a text is kept if its posterior probability of being good is at least one
 half.  All of it is built-in expressions; a text never leaves its row.
 
 Nulls and empty texts have no words, lines count for nothing and they are
@@ -30,10 +30,9 @@ def _ratio(part: str, whole: str) -> Column:
 def rule_votes() -> dict[str, Column]:
     """Name of each rule and its vote: 1 good, -1 bad, 0 abstains.
 
-    A rule votes against a text beyond its strict bound and abstains otherwise: that a text
-    passes one rule says little, and passing rules would outvote a failing one together.
-    Only ``in_range`` votes for a text, where no measure is beyond its lenient bound, and
-    against it where several are.
+    Every rule grades a measure of its own: within its lenient bound it votes for a text, beyond
+    its strict bound against it, and between the two it abstains.  No rule reads another's vote,
+    and none reads the length, which the base rule decides.
     """
     def per_word(name: str) -> Column:
         return _ratio(name, "n_words")
@@ -41,7 +40,6 @@ def rule_votes() -> dict[str, Column]:
     length, lines, marks = per_word("word_chars"), _ratio("n_dup_lines", "n_lines"), _ratio("n_marks", "word_chars")
     spread = F.col("n_distinct") / F.sqrt(F.greatest("n_words", F.lit(1)))
     rules = {  # beyond the strict bound, beyond the lenient one
-        "length": (F.col("n_words") < MIN_WORDS, F.col("n_words") < MIN_WORDS),
         "word_length": (~length.between(2.5, 11), ~length.between(3, 9)),
         "symbols": (per_word("n_symbols") > 0.1, per_word("n_symbols") > 0.05),
         "marks": (marks > 0.15, marks > 0.1),
@@ -53,9 +51,7 @@ def rule_votes() -> dict[str, Column]:
         "upper_case": (per_word("n_upper") > 2, per_word("n_upper") > 1),
         "tables": (per_word("n_bars") > 0.1, per_word("n_bars") > 0.05),
     }
-    lenient = sum((F.when(beyond, 1).otherwise(0) for _, beyond in rules.values()), F.lit(0))
-    votes = {name: F.when(beyond, -1).otherwise(0) for name, (beyond, _) in rules.items()}
-    return {**votes, "in_range": F.when(lenient == 0, 1).when(lenient > 1, -1).otherwise(0)}
+    return {name: F.when(strict, -1).when(lenient, 0).otherwise(1) for name, (strict, lenient) in rules.items()}
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -109,7 +105,7 @@ def judge(docs: DataFrame, own: list[str], text: str = "text") -> DataFrame:
     voted = materialize(measured.select(
         "own", *MEASURES, F.array(*[v.cast("byte") for v in votes.values()]).alias("votes")), "measures")
     patterns = [(tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()]
-    learnt = weak.fit(patterns, len(votes), PRIOR)
+    learnt = weak.fit_kinds(patterns, len(votes), PRIOR)
     quality = learnt.posterior_column([F.get("votes", F.lit(k)) for k in range(len(votes))])
     return (
         voted.withColumn("base_failed", base_failed()).withColumn("quality", quality)

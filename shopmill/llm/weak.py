@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -73,3 +74,62 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], voters: int, prior: float,
         if model() == current:
             break
     return model()
+
+
+@dataclass(frozen=True)
+class Kinds:
+    """Log-odds of every kind of bad against good: the kind's own, and those of each voter's two votes."""
+
+    kinds: tuple[tuple[float, tuple[tuple[float, float], ...]], ...]
+
+    def posterior(self, votes: Iterable[int]) -> float:
+        votes = list(votes)
+        odds = [bias + sum(w[0] if v > 0 else w[1] if v < 0 else 0.0 for v, w in zip(votes, weights))
+                for bias, weights in self.kinds]
+        return 1 / (1 + sum(math.exp(min(500.0, o)) for o in odds))
+
+    def posterior_column(self, votes: list[Column]) -> Column:
+        bad = F.lit(0.0)
+        for bias, weights in self.kinds:
+            odds = F.lit(bias)
+            for vote, (plus, minus) in zip(votes, weights):
+                odds = odds + F.when(vote > 0, F.lit(plus)).when(vote < 0, F.lit(minus)).otherwise(F.lit(0.0))
+            bad = bad + F.exp(F.least(odds, F.lit(500.0)))
+        return 1 / (1 + bad)
+
+
+def fit_kinds(patterns: list[tuple[tuple[int, ...], int]], voters: int, prior: float = 0.8,
+              passes: tuple[float, float] = (0.95, 0.9), rounds: int = 200, smoothing: float = 2.0) -> Kinds:
+    """Estimate good and one kind of bad for every voter.
+
+    What makes a text bad varies, and junk of one kind passes the other voters: with a single bad
+    class, their votes for it would outweigh the one against it.  So kind k starts as what voter k
+    votes against nine times in ten; ``passes`` are the starting shares of votes for, of good
+    and of the other voters of a kind.  Each class then has its own share for every voter, so what a
+    vote is worth, in both directions, is estimated from how votes go together.  Abstentions
+    say nothing.  No rows: the starting shares stay.
+    """
+    patterns = sorted(patterns)
+    start = np.full((voters + 1, voters), passes[1])
+    start[0] = passes[0]
+    start[1:][np.eye(voters, dtype=bool)] = 1 - passes[1]
+    share = start.copy()
+    weight = np.array([prior, *[(1 - prior) / voters] * voters])
+    votes = np.array([v for v, _ in patterns], np.int64).reshape(-1, voters)
+    plus, minus = (votes > 0).astype(float), (votes < 0).astype(float)
+    count = np.array([n for _, n in patterns], float)
+    for _ in range(rounds if count.sum() else 0):
+        score = np.log(weight) + plus @ np.log(share).T + minus @ np.log(1 - share).T
+        held = np.exp(score - score.max(1, keepdims=True))
+        held *= (count / held.sum(1))[:, None]
+        fresh = np.clip((held.T @ plus + smoothing * start) / (held.T @ (plus + minus) + smoothing), 0.001, 0.999)
+        moved = np.abs(fresh - share).max()
+        share = fresh
+        weight = np.maximum(held.sum(0) / count.sum(), 1e-4)
+        weight /= weight.sum()
+        if moved < 1e-6:
+            break
+    bias = np.log(weight[1:] / weight[0]).round(6)
+    gain, loss = np.log(share[1:] / share[0]).round(6), np.log((1 - share[1:]) / (1 - share[0])).round(6)
+    return Kinds(tuple(
+        (float(b), tuple(zip(g.tolist(), l.tolist()))) for b, g, l in zip(bias, gain, loss)))

@@ -186,6 +186,38 @@ def test_quality_on_held_out_labels(spark, sample):
     assert right > 0.95 and sum(clean) / len(clean) > 0.99
 
 
+def test_posterior_beats_all_rules_must_pass(spark, sample):
+    docs = spark.read.parquet(f"{sample.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{sample.replace('0.001', '0.01')}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    judged = Q.judge(docs, ["doc_id"]).select("own.doc_id", "votes", "base_failed", "quality", "kept")
+    rows = judged.join(labels, "doc_id").collect()
+    share = lambda said: sum(said(r) == (r["label"] == 1) for r in rows) / len(rows)
+    every, learnt = share(lambda r: min(r["votes"]) > 0), share(lambda r: r["quality"] >= 0.5)
+    assert learnt > 0.98 and learnt > every
+    # bad texts that most rules vote for are rejected all the same
+    assert any(r["label"] == 0 and sum(r["votes"]) > 4 and r["quality"] < 0.5 for r in rows)
+    counts = Counter(tuple(r["votes"]) for r in judged.collect())
+    learnt, start = (weak.fit_kinds(p, len(Q.rule_votes()), Q.PRIOR) for p in (list(counts.items()), []))
+    for r in rows[:200]:
+        assert abs(learnt.posterior(r["votes"]) - r["quality"]) < 1e-9
+    k = list(Q.rule_votes()).index("symbols")
+    assert abs(learnt.kinds[k][1][k][1] - start.kinds[k][1][k][1]) > 1
+
+
+def test_kinds_of_bad_are_told_apart():
+    rng, patterns, right = random.Random(2), Counter(), 0
+    draws = []
+    for _ in range(20_000):
+        kind = rng.choice([None, None, None, None, 0, 1])  # a kind fails voters 0 and 1, another 2 and 3
+        votes = tuple(0 if rng.random() < 0.1 else (-1 if rng.random() < (0.9 if k // 2 == kind else 0.02) else 1) for k in range(4))
+        patterns[votes] += 1
+        draws.append((votes, kind is None))
+    learnt = weak.fit_kinds(list(patterns.items()), 4)
+    right = sum((learnt.posterior(v) >= 0.5) == good for v, good in draws) / len(draws)
+    assert right > 0.92 and learnt.posterior((-1, -1, 1, 1)) < 0.5 < learnt.posterior((1, 1, 1, 1))
+    assert weak.fit_kinds([], 3).posterior((1, 1, 1)) > 0.5 > weak.fit_kinds([], 3).posterior((-1, -1, 1))
+
+
 def test_reliabilities_by_expectation_maximisation():
     rng, patterns = random.Random(1), Counter()
     accuracy = (0.95, 0.8, 0.6)
