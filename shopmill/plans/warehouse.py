@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopmill.operators import model as M
 from shopmill.operators.cleaning import clean_all
-from shopmill.operators.guards import fail_on_failures, join_cardinality_guard, require_unique
+from shopmill.operators.guards import fail_on_failures, join_cardinality_guard, require_unique, unique_side
 from shopmill.plans import calendar, investigate, operations, products, quality, rfm, sales, validate
 from shopmill.sources.meter import Meter
 from shopmill.sources.scratch import materialize
@@ -23,28 +23,39 @@ from shopmill.sources.writers import export_marts, save_csv, save_folder, stored
 
 
 class Warehouse:
-    """Lazy views of one set of raw tables; `clean` may be given as stored tables."""
+    """Lazy views of one set of raw tables; `clean` may be given as stored tables.
 
-    def __init__(self, raw: Mapping[str, DataFrame], clean: Mapping[str, DataFrame] | None = None):
+    With `guarded`, every join side whose key must be unique asserts so in the plan that reads it; without,
+    callers run `require_unique_keys` first, as `build_all` does.
+    """
+
+    def __init__(
+        self, raw: Mapping[str, DataFrame], clean: Mapping[str, DataFrame] | None = None, guarded: bool = False
+    ):
         self.raw = raw
         self.clean = clean if clean is not None else clean_all(raw)
+        self.guarded = guarded
+
+    def _side(self, table: str, key: str) -> DataFrame:
+        df = self.clean[table]
+        return unique_side(df, key, name=table) if self.guarded else df
 
     # --- facts with the parts a query reads --------------------------------------
 
     def items(self, products: bool = False, sellers: bool = False) -> DataFrame:
-        c = self.clean
         return M.fact_order_items(
-            c["order_items"],
-            c["products"] if products else None,
-            c["translation"] if products else None,
-            c["sellers"] if sellers else None,
+            self.clean["order_items"],
+            self._side("products", "product_id") if products else None,
+            self._side("translation", "product_category_name") if products else None,
+            self._side("sellers", "seller_id") if sellers else None,
         )
 
     def with_products(self, df: DataFrame) -> DataFrame:
-        return M.add_products(df, self.clean["products"], self.clean["translation"])
+        return M.add_products(
+            df, self._side("products", "product_id"), self._side("translation", "product_category_name"))
 
     def with_sellers(self, df: DataFrame) -> DataFrame:
-        return M.add_sellers(df, self.clean["sellers"])
+        return M.add_sellers(df, self._side("sellers", "seller_id"))
 
     @cached_property
     def items_agg(self) -> DataFrame:
@@ -63,7 +74,7 @@ class Warehouse:
     ) -> DataFrame:
         return M.fact_orders(
             self.clean["orders"],
-            self.clean["customers"] if customers else None,
+            self._side("customers", "customer_id") if customers else None,
             self.items_agg if items else None,
             self.payments_agg if payments else None,
             self.reviews_agg if reviews else None,

@@ -116,6 +116,42 @@ def test_broken_keys_stop_the_model(spark, sample):
         Warehouse(raw).require_unique_keys()
 
 
+@pytest.mark.parametrize("table", ["products", "sellers", "translation", "customers"])
+def test_guarded_joins_raise_in_their_plan_and_name_the_key(spark, sample, table):
+    raw = dict(samples.raw_tables(spark, sample))
+    clean = dict(Warehouse(raw).clean)
+    one = clean[table].limit(1)
+    key = one.columns[0]
+    clean[table] = clean[table].unionAll(one)
+    house = Warehouse(raw, clean, guarded=True)
+    fact = house.orders(customers=True) if table == "customers" else house.items(products=True, sellers=True)
+    with pytest.raises(Exception, match=f"{table}: {key}=.* occurs 2 times"):
+        fact.write.format("noop").mode("overwrite").save()
+
+
+def test_guarded_joins_change_no_row_and_scan_nothing_twice(spark, sample):
+    raw = samples.raw_tables(spark, sample)
+    plain, guarded = Warehouse(raw), Warehouse(raw, guarded=True)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    for build in (
+        lambda house: house.items(products=True, sellers=True),
+        lambda house: house.with_sellers(house.with_products(house.items())),
+        lambda house: house.orders(customers=True),
+    ):
+        expected, found = build(plain), build(guarded)
+        assert found.columns == expected.columns and found.count() == expected.count()
+        assert found.exceptAll(expected).count() == 0 and scans(found) == scans(expected)
+
+
+def test_unique_side_of_odd_keys(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "x", None), (None, "x", 3)], "k string, l string, v int")
+    assert guards.unique_side(df, "k", "l").exceptAll(df).count() == 0
+    assert guards.unique_side(df, "k", "l").columns == df.columns
+    assert guards.unique_side(df.limit(0), "k").count() == 0
+    with pytest.raises(Exception, match="side: k=NULL, l=x occurs 2 times"):
+        guards.unique_side(df.unionAll(df.where("k IS NULL")), "k", "l", name="side").collect()
+
+
 def test_sample_item_numbers_are_unique(spark):
     for sf in ("sf0.001", "sf0.01", "sf0.1"):
         df = samples.order_items(spark, f"/root/testdata/{sf}")
