@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shopmill.functions import exprs as X
 from shopmill.operators.cleaning import LIFECYCLE_TIMES
@@ -129,6 +129,24 @@ def fk_quality(raw: Tables) -> DataFrame:
 
 # --- values ------------------------------------------------------------------------------
 
+#: Values that one report text names; the extracts hold all of them, one a row.
+LISTED = 100
+
+
+def most_frequent(sizes: DataFrame, value: str, wanted: Column, name: str) -> DataFrame:
+    """One row: the ``LISTED`` most frequent wanted (value, n) of a table of counts, in order of value.
+
+    However many values the data holds, no task keeps more than ``LISTED`` of them.
+    """
+    top = sizes.orderBy(F.desc_nulls_last(F.when(wanted, F.col("n"))), value).limit(LISTED)
+    return top.agg(F.sort_array(F.collect_list(F.when(wanted, F.struct(value, "n")))).alias(name))
+
+
+def beyond_listed(distinct: str) -> Column:
+    """How many of so many distinct values a text does not name, as text; empty if none."""
+    return F.when(F.col(distinct) > LISTED, X.text(" and ", F.col(distinct) - LISTED, " more")).otherwise("")
+
+
 def numeric_quality(raw: Tables) -> DataFrame:
     items = raw["order_items"].agg(
         F.count(F.lit(1)).alias("items"),
@@ -136,24 +154,26 @@ def numeric_quality(raw: Tables) -> DataFrame:
         F.count_if(X.unusable_amount(X.to_number("freight_value"))).alias("freight"),
     )
     # Payments are reduced to their few distinct installment numbers first.
-    payments = (
+    plans = (
         raw["payments"]
         .groupBy(X.to_whole("payment_installments").alias("plan"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(X.unusable_amount(X.to_number("payment_value"))).alias("negative"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("payments"),
-            F.coalesce(F.sum("negative"), F.lit(0)).alias("value"),
-            F.coalesce(F.sum(F.when(F.col("plan") <= 0, F.col("n"))), F.lit(0)).alias("installments"),
-            F.sort_array(F.collect_list(F.when(F.col("plan") <= 0, F.struct("plan", "n")))).alias("plans"),
-        )
     )
-    histogram = F.array_join(F.transform("plans", lambda p: X.text(p["plan"], ": ", p["n"])), ", ")
+    payments = plans.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("payments"),
+        F.coalesce(F.sum("negative"), F.lit(0)).alias("value"),
+        F.coalesce(F.sum(F.when(F.col("plan") <= 0, F.col("n"))), F.lit(0)).alias("installments"),
+        F.count_if(F.col("plan") <= 0).alias("odd_plans"),
+    )
+    listed = most_frequent(plans, "plan", F.col("plan") <= 0, "plans")
+    histogram = F.concat(
+        F.array_join(F.transform("plans", lambda p: X.text(p["plan"], ": ", p["n"])), ", "), beyond_listed("odd_plans"))
 
     def negative(check: str, label: str, count: str, total: str) -> Check:
         return Check(check, verdict(F.col(count) == 0), X.text(label, F.col(count)), F.col(count),
                      X.safe_percentage(count, total))
 
-    return check_rows(one_row(items, payments), [
+    return check_rows(one_row(items, payments, listed), [
         negative("order_items.price valid (>= 0)", "Invalid negative prices=", "price", "items"),
         negative("order_items.freight_value valid (>= 0)", "Invalid negative freight values=", "freight", "items"),
         negative("payments.payment_value valid (>= 0)", "Invalid negative payment values=", "value", "payments"),
@@ -174,14 +194,16 @@ def domain_quality(raw: Tables) -> DataFrame:
         F.count_if(score.isNotNull() & ~score.isin(*[float(s) for s in REVIEW_SCORES])).alias("scores"),
     )
     unexpected = F.col("payment_type").isNotNull() & ~F.col("payment_type").isin(*PAYMENT_TYPES)
-    # The lists hold distinct types: the table is reduced to one row per type first.
-    payments = key_sizes(raw["payments"], "payment_type").agg(
+    sizes = key_sizes(raw["payments"], "payment_type")
+    payments = sizes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("payments"),
         F.coalesce(F.sum(F.when(unexpected, F.col("n"))), F.lit(0)).alias("odd_rows"),
-        F.sort_array(F.collect_list("payment_type")).alias("types"),
-        F.sort_array(F.collect_list(F.when(unexpected, F.col("payment_type")))).alias("odd_types"),
+        F.count("payment_type").alias("n_types"),
+        F.count_if(unexpected).alias("n_odd_types"),
     )
-    return check_rows(one_row(reviews, payments), [
+    types = most_frequent(sizes, "payment_type", F.col("payment_type").isNotNull(), "types")
+    odd_types = most_frequent(sizes, "payment_type", unexpected, "odd_types")
+    return check_rows(one_row(reviews, payments, types, odd_types), [
         Check(
             "reviews.review_score valid (1-5)",
             verdict(F.col("scores") == 0),
@@ -192,14 +214,24 @@ def domain_quality(raw: Tables) -> DataFrame:
         Check(
             "payments.payment_type validity",
             verdict(F.col("odd_rows") == 0, "REVIEW"),
-            X.text("Observed types=", text_list(F.col("types")),
-                   "; unexpected types=", text_list(F.col("odd_types"))),
+            X.text("Observed types=", text_list(F.col("types.payment_type")), beyond_listed("n_types"),
+                   "; unexpected types=", text_list(F.col("odd_types.payment_type")), beyond_listed("n_odd_types")),
             F.col("odd_rows"),
             X.safe_percentage("odd_rows", "payments"),
         ),
     ], numbers=NUMBERS)
 
 
+def unexpected_payment_types(payments: DataFrame) -> DataFrame:
+    """Payment types outside the known ones and their rows, all of them."""
+    return (
+        key_sizes(payments, "payment_type")
+        .where(F.col("payment_type").isNotNull() & ~F.col("payment_type").isin(*PAYMENT_TYPES))
+        .select("payment_type", F.col("n").alias("payments"))
+        .orderBy(F.desc("payments"), "payment_type")
+    )
+
+
 # --- missing values --------------------------------------------------------------------------
 
 def missing_values(raw: Tables) -> DataFrame:
@@ -384,19 +416,19 @@ def untranslated_categories(products: DataFrame, translation: DataFrame) -> Data
 def category_translation_coverage(products: DataFrame, translation: DataFrame) -> DataFrame:
     name = "product_category_name"
     translated = translation.where(F.col(name).isNotNull()).select(name).distinct()
-    source = products.where(F.col(name).isNotNull()).select(name).distinct()
+    source = key_sizes(products.where(F.col(name).isNotNull()), name)
     matched = source.join(translated.withColumn("known", F.lit(True)), name, "left")
+    untranslated = F.col("known").isNull()
     measures = one_row(
-        matched.agg(
-            F.count(F.lit(1)).alias("categories"),
-            F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.col(name)))).alias("untranslated")),
+        matched.agg(F.count(F.lit(1)).alias("categories"), F.count_if(untranslated).alias("gaps")),
+        most_frequent(matched, name, untranslated, "untranslated"),
         row_count(translated, "translated"),
-    ).withColumn("gaps", F.size("untranslated"))
+    )
     return check_rows(measures, [Check(
         "Product category translation coverage",
         verdict(F.col("gaps") == 0, "REVIEW"),
         X.text("Source categories=", F.col("categories"), ", translated categories=", F.col("translated"),
-               ", untranslated categories=", text_list(F.col("untranslated"))),
+               ", untranslated categories=", text_list(F.col(f"untranslated.{name}")), beyond_listed("gaps")),
         F.col("gaps"),
         X.safe_percentage("gaps", "categories"),
     )], numbers=NUMBERS)

@@ -186,6 +186,7 @@ def audit_reports(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "geolocation_quality": quality.geolocation_quality(raw["geolocation"]),
         "untranslated_categories": quality.untranslated_categories(raw["products"], raw["translation"]),
         "order_status_distribution": quality.order_status_distribution(orders),
+        "unexpected_payment_types": quality.unexpected_payment_types(raw["payments"]),
         "invalid_payment_installments": investigate.invalid_payment_installments(raw["payments"]),
         "invalid_date_sequences": investigate.invalid_date_sequences(orders),
         **{f"orders_without_{name}": df for name, df in without.items()},

@@ -54,6 +54,24 @@ def test_value_checks_report_what_they_found(spark, raw):
         "REVIEW", "Observed types=['boleto', 'cash', 'voucher']; unexpected types=['cash']")
 
 
+def test_texts_name_a_bounded_number_of_values(spark, raw):
+    many = 100_000
+    payments = spark.range(many).selectExpr(
+        "'o' AS order_id", "id AS payment_sequential", "concat('t', lpad(id, 6, '0')) AS payment_type",
+        "-id AS payment_installments", "1.0D AS payment_value")
+    payments = payments.unionAll(payments.where("payment_sequential = 77777"))
+    products = spark.range(many).selectExpr("cast(id AS string) AS product_id", "concat('c', lpad(id, 6, '0')) AS product_category_name")
+    tables = {**raw, "payments": payments}
+    plans = A.numeric_quality(tables).where("check LIKE '%installments%'").first()
+    assert plans["count"] == many + 1 and plans.details.endswith(", -77777: 2 and 99900 more}")
+    types = A.domain_quality(tables).where("check LIKE 'payments%'").first()
+    assert types["count"] == many + 1 and types.details.count("'t077777'] and 99900 more") == 2
+    gaps = A.category_translation_coverage(products, raw["translation"]).first()
+    assert gaps["count"] == many and gaps.details.count("'c") == A.LISTED and gaps.details.endswith(" and 99900 more")
+    found = A.unexpected_payment_types(payments)
+    assert found.count() == many and tuple(found.first()) == ("t077777", 2)
+
+
 def test_times_that_do_not_parse(spark):
     columns = A.LIFECYCLE_TIMES
     orders = spark.createDataFrame([("2017-01-01 00:00:00", "junk", None, None, None)],

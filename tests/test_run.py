@@ -22,7 +22,7 @@ def test_build_all_from_csv(spark, sample, tmp_path):
     counts = {r.table_name: r.row_count for r in spark.read.parquet(f"{out}/reports/export_row_counts").collect()}
     assert len(counts) == 16 and counts["fact_order_items"] == 6000 and counts["dim_customers"] == 1196
     reports = stored_tables(spark, f"{out}/reports")
-    assert len(reports) == 36 and {"catalog_validation", "missing_values", "business_key_summary"} <= set(reports)
+    assert len(reports) == 37 and {"catalog_validation", "missing_values", "business_key_summary"} <= set(reports)
     assert stored_tables(spark, f"{out}/presentation") == [
         "average_order_value", "monthly_order_volume", "monthly_revenue", "revenue_by_category", "revenue_by_state",
         "rfm_segment_summary", "top_categories", "top_customer_states", "top_products", "top_sellers",
