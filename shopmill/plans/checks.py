@@ -66,20 +66,6 @@ def key_measures(df: DataFrame, *keys: str, prefix: str = "") -> DataFrame:
     )
 
 
-def orphan_measures(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """One row: non-NULL child keys and those without a parent.
-
-    Child rows are counted per key before they meet the parent table, so a key
-    that holds a large share of the child table is one row in the join.
-    """
-    counted = key_sizes(child.where(F.col(child_key).isNotNull()), child_key)
-    known = parent.select(F.col(parent_key).alias(child_key)).distinct().withColumn("known", F.lit(True))
-    return counted.join(known, child_key, "left").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("keys"),
-        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
-    )
-
-
 def status_counts(checks: DataFrame) -> DataFrame:
     return checks.groupBy("status").agg(F.count(F.lit(1)).alias("checks")).orderBy(F.desc("checks"), "status")
 

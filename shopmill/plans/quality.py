@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shopmill.functions import exprs as X
 from shopmill.operators.cleaning import LIFECYCLE_TIMES
 from shopmill.operators.guards import rows_with_repeated_hash
-from shopmill.plans.checks import (
-    Check, check_rows, key_measures, key_sizes, one_row, orphan_measures, row_count, text_list, union_all,
-    verdict,
-)
+from shopmill.plans import keys as K
+from shopmill.plans.checks import Check, check_rows, key_sizes, one_row, row_count, text_list, union_all, verdict
 from shopmill.plans.checks import status_counts as quality_status_counts  # noqa: F401
 from shopmill.sources.readers import csv_files, read_text_csv
+from shopmill.sources.scratch import materialize
 
 Tables = Mapping[str, DataFrame]
 NUMBERS = ("count", "percentage")
@@ -99,32 +98,46 @@ def folder_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- keys ------------------------------------------------------------------------------
 
-def pk_quality(raw: Tables) -> DataFrame:
-    reports = []
+def pk_measures() -> list[Column]:
+    """`<table>_rows`, `_nulls`, `_duplicates` of every primary key, from key counts."""
+    return [c for table, key in PRIMARY_KEYS.items() for c in K.uniqueness(key, table, table)]
+
+
+def fk_measures() -> list[Column]:
+    """`<child>_<key>_keys` and `_orphans` of every relation, from key counts."""
+    return [c for child, key, parent, parent_key in FOREIGN_KEYS
+            for c in K.orphans(parent_key, child, parent, f"{child}_{key}")]
+
+
+def _pk_checks() -> list[Check]:
+    checks = []
     for table, key in PRIMARY_KEYS.items():
-        bad = F.col("nulls") + F.col("duplicates")
-        reports.append(check_rows(key_measures(raw[table], key), [Check(
-            f"{table}.{key} uniqueness",
-            verdict(bad == 0),
-            X.text("Rows=", F.col("rows"), ", nulls=", F.col("nulls"), ", duplicates=", F.col("duplicates")),
-            bad,
-            X.safe_percentage(bad, "rows"),
-        )], numbers=NUMBERS))
-    return union_all(reports)
+        rows, nulls, duplicates = (F.col(f"{table}_{m}") for m in ("rows", "nulls", "duplicates"))
+        bad = nulls + duplicates
+        checks.append(Check(
+            f"{table}.{key} uniqueness", verdict(bad == 0),
+            X.text("Rows=", rows, ", nulls=", nulls, ", duplicates=", duplicates), bad, X.safe_percentage(bad, rows)))
+    return checks
+
+
+def _fk_checks() -> list[Check]:
+    checks = []
+    for child, key, _, _ in FOREIGN_KEYS:
+        keys, orphans = F.col(f"{child}_{key}_keys"), F.col(f"{child}_{key}_orphans")
+        checks.append(Check(
+            f"{child}.{key} → parent key", verdict(orphans == 0),
+            X.text("Non-null child keys=", keys, ", orphan keys=", orphans), orphans, X.safe_percentage(orphans, keys)))
+    return checks
+
+
+def pk_quality(raw: Tables) -> DataFrame:
+    counts = K.key_counts(raw, K.relationship_keys((), PRIMARY_KEYS))
+    return check_rows(counts.agg(*pk_measures()), _pk_checks(), numbers=NUMBERS)
 
 
 def fk_quality(raw: Tables) -> DataFrame:
-    reports = []
-    for child, key, parent, parent_key in FOREIGN_KEYS:
-        orphans, keys = F.col("orphans"), F.col("keys")
-        reports.append(check_rows(orphan_measures(raw[child], key, raw[parent], parent_key), [Check(
-            f"{child}.{key} → parent key",
-            verdict(orphans == 0),
-            X.text("Non-null child keys=", keys, ", orphan keys=", orphans),
-            orphans,
-            X.safe_percentage(orphans, keys),
-        )], numbers=NUMBERS))
-    return union_all(reports)
+    counts = K.key_counts(raw, K.relationship_keys(FOREIGN_KEYS, {}))
+    return check_rows(counts.agg(*fk_measures()), _fk_checks(), numbers=NUMBERS)
 
 
 # --- values ------------------------------------------------------------------------------
@@ -147,25 +160,32 @@ def beyond_listed(distinct: str) -> Column:
     return F.when(F.col(distinct) > LISTED, X.text(" and ", F.col(distinct) - LISTED, " more")).otherwise("")
 
 
-def numeric_quality(raw: Tables) -> DataFrame:
-    items = raw["order_items"].agg(
+def _missing_cells(df: DataFrame) -> Column:
+    gaps = [F.count_if(F.col(c).isNull()) for c in df.columns]
+    return sum(gaps[1:], gaps[0])
+
+
+def _item_measures() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("items"),
         F.count_if(X.unusable_amount(X.to_number("price"))).alias("price"),
         F.count_if(X.unusable_amount(X.to_number("freight_value"))).alias("freight"),
-    )
-    # Payments are reduced to their few distinct installment numbers first.
-    plans = (
-        raw["payments"]
-        .groupBy(X.to_whole("payment_installments").alias("plan"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(X.unusable_amount(X.to_number("payment_value"))).alias("negative"))
-    )
-    payments = plans.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("payments"),
-        F.coalesce(F.sum("negative"), F.lit(0)).alias("value"),
-        F.coalesce(F.sum(F.when(F.col("plan") <= 0, F.col("n"))), F.lit(0)).alias("installments"),
-        F.count_if(F.col("plan") <= 0).alias("odd_plans"),
-    )
-    listed = most_frequent(plans, "plan", F.col("plan") <= 0, "plans")
+    ]
+
+
+def _review_measures() -> list[Column]:
+    score = X.to_number("review_score")
+    return [
+        F.count(F.lit(1)).alias("reviews"),
+        F.count_if(score.isNotNull() & ~score.isin(*[float(s) for s in REVIEW_SCORES])).alias("scores"),
+    ]
+
+
+def _unusable_payment() -> Column:
+    return F.count_if(X.unusable_amount(X.to_number("payment_value")))
+
+
+def _numeric_checks() -> list[Check]:
     histogram = F.concat(
         F.array_join(F.transform("plans", lambda p: X.text(p["plan"], ": ", p["n"])), ", "), beyond_listed("odd_plans"))
 
@@ -173,7 +193,7 @@ def numeric_quality(raw: Tables) -> DataFrame:
         return Check(check, verdict(F.col(count) == 0), X.text(label, F.col(count)), F.col(count),
                      X.safe_percentage(count, total))
 
-    return check_rows(one_row(items, payments, listed), [
+    return [
         negative("order_items.price valid (>= 0)", "Invalid negative prices=", "price", "items"),
         negative("order_items.freight_value valid (>= 0)", "Invalid negative freight values=", "freight", "items"),
         negative("payments.payment_value valid (>= 0)", "Invalid negative payment values=", "value", "payments"),
@@ -184,26 +204,29 @@ def numeric_quality(raw: Tables) -> DataFrame:
             F.col("installments"),
             X.safe_percentage("installments", "payments"),
         ),
-    ], numbers=NUMBERS)
+    ]
 
 
-def domain_quality(raw: Tables) -> DataFrame:
-    score = X.to_number("review_score")
-    reviews = raw["reviews"].agg(
-        F.count(F.lit(1)).alias("reviews"),
-        F.count_if(score.isNotNull() & ~score.isin(*[float(s) for s in REVIEW_SCORES])).alias("scores"),
+def numeric_quality(raw: Tables) -> DataFrame:
+    items = raw["order_items"].agg(*_item_measures())
+    # Payments are reduced to their few distinct installment numbers first.
+    plans = (
+        raw["payments"]
+        .groupBy(X.to_whole("payment_installments").alias("plan"))
+        .agg(F.count(F.lit(1)).alias("n"), _unusable_payment().alias("negative"))
     )
-    unexpected = F.col("payment_type").isNotNull() & ~F.col("payment_type").isin(*PAYMENT_TYPES)
-    sizes = key_sizes(raw["payments"], "payment_type")
-    payments = sizes.agg(
+    payments = plans.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("payments"),
-        F.coalesce(F.sum(F.when(unexpected, F.col("n"))), F.lit(0)).alias("odd_rows"),
-        F.count("payment_type").alias("n_types"),
-        F.count_if(unexpected).alias("n_odd_types"),
+        F.coalesce(F.sum("negative"), F.lit(0)).alias("value"),
+        F.coalesce(F.sum(F.when(F.col("plan") <= 0, F.col("n"))), F.lit(0)).alias("installments"),
+        F.count_if(F.col("plan") <= 0).alias("odd_plans"),
     )
-    types = most_frequent(sizes, "payment_type", F.col("payment_type").isNotNull(), "types")
-    odd_types = most_frequent(sizes, "payment_type", unexpected, "odd_types")
-    return check_rows(one_row(reviews, payments, types, odd_types), [
+    listed = most_frequent(plans, "plan", F.col("plan") <= 0, "plans")
+    return check_rows(one_row(items, payments, listed), _numeric_checks(), numbers=NUMBERS)
+
+
+def _domain_checks() -> list[Check]:
+    return [
         Check(
             "reviews.review_score valid (1-5)",
             verdict(F.col("scores") == 0),
@@ -219,14 +242,33 @@ def domain_quality(raw: Tables) -> DataFrame:
             F.col("odd_rows"),
             X.safe_percentage("odd_rows", "payments"),
         ),
-    ], numbers=NUMBERS)
+    ]
+
+
+def _unexpected(payment_type: str) -> Column:
+    return F.col(payment_type).isNotNull() & ~F.col(payment_type).isin(*PAYMENT_TYPES)
+
+
+def domain_quality(raw: Tables) -> DataFrame:
+    reviews = raw["reviews"].agg(*_review_measures())
+    unexpected = _unexpected("payment_type")
+    sizes = key_sizes(raw["payments"], "payment_type")
+    payments = sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("payments"),
+        F.coalesce(F.sum(F.when(unexpected, F.col("n"))), F.lit(0)).alias("odd_rows"),
+        F.count("payment_type").alias("n_types"),
+        F.count_if(unexpected).alias("n_odd_types"),
+    )
+    types = most_frequent(sizes, "payment_type", F.col("payment_type").isNotNull(), "types")
+    odd_types = most_frequent(sizes, "payment_type", unexpected, "odd_types")
+    return check_rows(one_row(reviews, payments, types, odd_types), _domain_checks(), numbers=NUMBERS)
 
 
 def unexpected_payment_types(payments: DataFrame) -> DataFrame:
     """Payment types outside the known ones and their rows, all of them."""
     return (
         key_sizes(payments, "payment_type")
-        .where(F.col("payment_type").isNotNull() & ~F.col("payment_type").isin(*PAYMENT_TYPES))
+        .where(_unexpected("payment_type"))
         .select("payment_type", F.col("n").alias("payments"))
         .orderBy(F.desc("payments"), "payment_type")
     )
@@ -269,14 +311,13 @@ def missing_by_status(orders: DataFrame) -> DataFrame:
     )
 
 
-def missing_value_check(raw: Tables) -> DataFrame:
-    total = missing_values(raw).agg(F.coalesce(F.sum("missing_count"), F.lit(0)).alias("n"))
-    return check_rows(total, [Check(
+def _missing_value_check() -> Check:
+    return Check(
         "Missing-value analysis",
         F.lit("INFO"),
         F.lit("Cells without a value; see the report of missing values."),
-        F.col("n"),
-    )], numbers=NUMBERS)
+        F.col("missing_cells"),
+    )
 
 
 # --- dates ---------------------------------------------------------------------------------------
@@ -300,18 +341,32 @@ def timestamp_parse_quality(orders: DataFrame) -> DataFrame:
     return check_rows(counts, missing + failed, numbers=NUMBERS)
 
 
-def date_sequence_quality(orders: DataFrame) -> DataFrame:
-    """Six order rules; the share is of the rows where both times are known."""
-    parsed = orders.select(*[X.to_time(c).alias(c) for c in LIFECYCLE_TIMES])
-    counts = parsed.agg(
-        *[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"known_{n}") for n, a, b, _ in DATE_RULES],
-        *[F.count_if(F.col(a) < F.col(b)).alias(f"bad_{n}") for n, a, b, _ in DATE_RULES])
-    return check_rows(counts, [
+def _with_times(orders: DataFrame) -> DataFrame:
+    """The orders and `time_<column>` for every lifecycle time."""
+    return orders.select("*", *[X.to_time(c).alias(f"time_{c}") for c in LIFECYCLE_TIMES])
+
+
+def _sequence_measures() -> list[Column]:
+    def times(a: str, b: str) -> tuple[Column, Column]:
+        return F.col(f"time_{a}"), F.col(f"time_{b}")
+    both = [(n, *times(a, b)) for n, a, b, _ in DATE_RULES]
+    return [
+        *[F.count_if(a.isNotNull() & b.isNotNull()).alias(f"known_{n}") for n, a, b in both],
+        *[F.count_if(a < b).alias(f"bad_{n}") for n, a, b in both],
+    ]
+
+
+def _sequence_checks() -> list[Check]:
+    return [
         Check(n, verdict(F.col(f"bad_{n}") == 0, "REVIEW"),
               X.text(f"{wording}; comparable rows=", F.col(f"known_{n}")),
               F.col(f"bad_{n}"), X.safe_percentage(f"bad_{n}", f"known_{n}"))
-        for n, _, _, wording in DATE_RULES
-    ], numbers=NUMBERS)
+        for n, _, _, wording in DATE_RULES]
+
+
+def date_sequence_quality(orders: DataFrame) -> DataFrame:
+    """Six order rules; the share is of the rows where both times are known."""
+    return check_rows(_with_times(orders).agg(*_sequence_measures()), _sequence_checks(), numbers=NUMBERS)
 
 
 def date_quality_report(orders: DataFrame) -> DataFrame:
@@ -321,21 +376,23 @@ def date_quality_report(orders: DataFrame) -> DataFrame:
 # --- relationships ----------------------------------------------------------------------------------
 
 def relationship_cardinality(raw: Tables) -> DataFrame:
-    """Children per parent key, for every relationship."""
-    reports = []
+    """Children per parent key, for every relationship; a missing parent key counts as one without children."""
+    relations = [(child, key, parent, key) for parent, child, key in CARDINALITIES]
+    counts = K.key_counts(raw, K.relationship_keys(relations, {}))
+    rows = []
     for parent, child, key in CARDINALITIES:
-        children = key_sizes(raw[child].where(F.col(key).isNotNull()), key)
-        n = F.coalesce("n", F.lit(0))
-        measured = raw[parent].select(key).distinct().join(children, key, "left").agg(
-            F.count(F.lit(1)).alias("parent_rows"),
+        here = (F.col("kind") == key) & (F.col(f"n_{parent}") > 0)
+        n = F.when(here, F.when(F.col("value").isNull(), 0).otherwise(F.col(f"n_{child}")))
+        rows.append(F.struct(
+            F.lit(f"{parent} → {child}").alias("relationship"),
+            F.count(n).alias("parent_rows"),
             F.count_if(n == 0).alias("zero_children"),
             F.count_if(n == 1).alias("one_child"),
             F.count_if(n > 1).alias("multiple_children"),
             F.max(n).alias("maximum_children"),
-            X.round_half_even(F.sum(n) / F.count(F.lit(1)).cast("double"), 2).alias("average_children"),
-        )
-        reports.append(measured.select(F.lit(f"{parent} → {child}").alias("relationship"), "*"))
-    return union_all(reports)
+            X.round_half_even(F.sum(n) / F.nullif(F.count(n), F.lit(0)).cast("double"), 2).alias("average_children"),
+        ))
+    return counts.agg(F.array(*rows).alias("found")).select(F.inline("found"))
 
 
 # --- geolocation ----------------------------------------------------------------------------------------
@@ -380,9 +437,9 @@ def geolocation_quality(geolocation: DataFrame) -> DataFrame:
         for metric, c in metrics.items()])))
 
 
-def geolocation_checks(geolocation: DataFrame) -> DataFrame:
+def _geolocation_checks() -> list[Check]:
     number = X.grouped_number
-    return check_rows(_geolocation_measures(geolocation), [
+    return [
         Check(
             "Geolocation exact duplicates",
             verdict(F.col("duplicates") == 0, "REVIEW"),
@@ -398,7 +455,7 @@ def geolocation_checks(geolocation: DataFrame) -> DataFrame:
             F.col("several"),
             X.safe_percentage("several", "zips"),
         ),
-    ], numbers=NUMBERS)
+    ]
 
 
 # --- categories and statuses ---------------------------------------------------------------------------------
@@ -413,6 +470,17 @@ def untranslated_categories(products: DataFrame, translation: DataFrame) -> Data
     )
 
 
+def _category_checks() -> list[Check]:
+    return [Check(
+        "Product category translation coverage",
+        verdict(F.col("gaps") == 0, "REVIEW"),
+        X.text("Source categories=", F.col("categories"), ", translated categories=", F.col("translated"),
+               ", untranslated categories=", text_list(F.col("untranslated.product_category_name")), beyond_listed("gaps")),
+        F.col("gaps"),
+        X.safe_percentage("gaps", "categories"),
+    )]
+
+
 def category_translation_coverage(products: DataFrame, translation: DataFrame) -> DataFrame:
     name = "product_category_name"
     translated = translation.where(F.col(name).isNotNull()).select(name).distinct()
@@ -424,14 +492,7 @@ def category_translation_coverage(products: DataFrame, translation: DataFrame) -
         most_frequent(matched, name, untranslated, "untranslated"),
         row_count(translated, "translated"),
     )
-    return check_rows(measures, [Check(
-        "Product category translation coverage",
-        verdict(F.col("gaps") == 0, "REVIEW"),
-        X.text("Source categories=", F.col("categories"), ", translated categories=", F.col("translated"),
-               ", untranslated categories=", text_list(F.col(f"untranslated.{name}")), beyond_listed("gaps")),
-        F.col("gaps"),
-        X.safe_percentage("gaps", "categories"),
-    )], numbers=NUMBERS)
+    return check_rows(measures, _category_checks(), numbers=NUMBERS)
 
 
 def order_status_distribution(orders: DataFrame) -> DataFrame:
@@ -444,27 +505,84 @@ def order_status_distribution(orders: DataFrame) -> DataFrame:
     )
 
 
-def order_status_check(orders: DataFrame) -> DataFrame:
-    statuses = orders.agg(F.count_distinct("order_status").alias("n"))
-    return check_rows(statuses, [Check(
+def _status_check() -> Check:
+    return Check(
         "Order status distribution", F.lit("INFO"),
-        X.text("Observed ", F.col("n"), " distinct order statuses."), F.col("n"),
-    )], numbers=NUMBERS)
+        X.text("Observed ", F.col("statuses"), " distinct order statuses."), F.col("statuses"))
 
 
 # --- the whole audit -----------------------------------------------------------------------------------------------
 
-def quality_report(raw: Tables) -> DataFrame:
-    """Every check of the audit, one row each."""
-    orders = raw["orders"]
-    return union_all([
-        pk_quality(raw),
-        fk_quality(raw),
-        numeric_quality(raw),
-        domain_quality(raw),
-        missing_value_check(raw),
-        order_status_check(orders),
-        date_sequence_quality(orders),
-        geolocation_checks(raw["geolocation"]),
-        category_translation_coverage(raw["products"], raw["translation"]),
+def audit_keys(raw: Tables) -> DataFrame:
+    """The key counts that the audit needs: keys, relations, and the values of the small domains."""
+    return K.key_counts(raw, [
+        *K.relationship_keys(FOREIGN_KEYS, PRIMARY_KEYS),
+        K.plain("orders", "order_status"),
+        K.plain("payments", "payment_type"),
+        K.Key("plan", "payments", X.to_whole("payment_installments").cast("string")),
+        K.plain("products", "product_category_name"),
+        K.plain("translation", "product_category_name"),
     ])
+
+
+def _domain_facts(counts: DataFrame) -> list[DataFrame]:
+    """One-row frames: keys and small domains, and the values that report texts name."""
+    category, kind = "product_category_name", "payment_type"
+    plan = F.col("value").cast("bigint")
+    given, odd_type, untranslated = F.col("value").isNotNull(), _unexpected("value"), F.col("n_translation") == 0
+    facts = counts.agg(
+        *pk_measures(),
+        *fk_measures(),
+        K.rows_with("plan", "payments").alias("payments"),
+        K.rows_with("plan", "payments", plan <= 0).alias("installments"),
+        K.values_with("plan", "payments", plan <= 0).alias("odd_plans"),
+        K.rows_with(kind, "payments", odd_type).alias("odd_rows"),
+        K.values_with(kind, "payments", given).alias("n_types"),
+        K.values_with(kind, "payments", odd_type).alias("n_odd_types"),
+        K.values_with(category, "products", given).alias("categories"),
+        K.values_with(category, "products", given & untranslated).alias("gaps"),
+        K.values_with(category, "translation", given).alias("translated"),
+        K.values_with("order_status", "orders", given).alias("statuses"),
+    )
+    plans = K.sizes(counts, "plan", "payments", "plan", "bigint")
+    types = K.sizes(counts, kind, "payments", kind)
+    gaps = K.sizes(counts.where(given & untranslated), category, "products", category)
+    return [
+        facts,
+        most_frequent(plans, "plan", F.col("plan") <= 0, "plans"),
+        most_frequent(types, kind, F.col(kind).isNotNull(), "types"),
+        most_frequent(types, kind, _unexpected(kind), "odd_types"),
+        most_frequent(gaps, category, F.lit(True), "untranslated"),
+    ]
+
+
+def quality_report(raw: Tables) -> DataFrame:
+    """Every check of the audit, one row each.
+
+    Every table is read twice: once for its keys and once for everything that is counted row by row (geolocation:
+    its places).  The key counts are written when this is called, as several measures read them; the rest is lazy.
+    """
+    measures: dict[str, list[Column]] = {
+        "orders": _sequence_measures(),
+        "order_items": _item_measures(),
+        "payments": [_unusable_payment().alias("value")],
+        "reviews": _review_measures(),
+    }
+    passes = []
+    for table, df in raw.items():
+        read = _with_times(df) if table == "orders" else df
+        passes.append(read.agg(_missing_cells(df).alias(f"missing_{table}"), *measures.get(table, [])))
+    counts = materialize(audit_keys(raw), "audit_keys")
+    found = one_row(*passes, *_domain_facts(counts), _geolocation_measures(raw["geolocation"]))
+    gaps = [F.col(f"missing_{table}") for table in raw]
+    return check_rows(found.withColumn("missing_cells", sum(gaps[1:], gaps[0])), [
+        *_pk_checks(),
+        *_fk_checks(),
+        *_numeric_checks(),
+        *_domain_checks(),
+        _missing_value_check(),
+        _status_check(),
+        *_sequence_checks(),
+        *_geolocation_checks(),
+        *_category_checks(),
+    ], numbers=NUMBERS)

@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shopmill.functions import exprs as X
 from shopmill.operators.cleaning import CLEANERS, LIFECYCLE_FLAGS
 from shopmill.operators.guards import fail_on_failures  # noqa: F401  (part of this API)
-from shopmill.plans.checks import (
-    Check, check_rows, key_measures, key_sizes, one_row, orphan_measures, row_count, union_all, verdict,
-)
+from shopmill.plans import keys as K
+from shopmill.plans.checks import Check, check_rows, key_measures, key_sizes, one_row, row_count, union_all, verdict
 from shopmill.plans.investigate import ITEM_IDENTITY, ITEM_KEY
-from shopmill.plans.quality import FOREIGN_KEYS, PRIMARY_KEYS, REVIEW_SCORES, exact_duplicate_rows
+from shopmill.plans.quality import FOREIGN_KEYS, PRIMARY_KEYS, REVIEW_SCORES, fk_measures, pk_measures
 
 Tables = Mapping[str, DataFrame]
 #: What was observed while tables were written: `rows` and the measures of `TABLE_MEASURES`.
@@ -83,13 +82,15 @@ def _rows(df_or_count: DataFrame | int, name: str, like: DataFrame) -> DataFrame
 
 # --- cleaned tables --------------------------------------------------------------------
 
-def processed_tables_exist(measured: DataFrame, listed: Collection[str]) -> DataFrame:
-    """`listed`: the cleaned tables that exist; `measured`: any one-row frame."""
+def _availability(listed: Collection[str]) -> Check:
     missing = [t for t in CLEANERS if t not in listed]
     details = f"Not there: {missing}" if missing else "All there."
-    return check_rows(measured, [Check(
-        "Processed dataset availability", verdict(F.lit(not missing)), F.lit(details), F.lit(len(missing)),
-    )], COUNT)
+    return Check("Processed dataset availability", verdict(F.lit(not missing)), F.lit(details), F.lit(len(missing)))
+
+
+def processed_tables_exist(measured: DataFrame, listed: Collection[str]) -> DataFrame:
+    """`listed`: the cleaned tables that exist; `measured`: any one-row frame."""
+    return check_rows(measured, [_availability(listed)], COUNT)
 
 
 def row_count_comparison(raw: Tables, clean: Tables) -> DataFrame:
@@ -102,48 +103,65 @@ def row_count_comparison(raw: Tables, clean: Tables) -> DataFrame:
         for table in CLEANERS])
 
 
+def _preservation_checks() -> list[Check]:
+    """Over `raw_<table>` and `rows_<table>`."""
+    checks = []
+    for table in CLEANERS:
+        before, after = f"raw_{table}", f"rows_{table}"
+        checks.append(Check(
+            f"{table} row-count preservation", verdict(_c(before) == _c(after)),
+            X.text("Raw=", X.grouped_number(before), "; Processed=", X.grouped_number(after)),
+            F.abs(_c(after) - _c(before))))
+    return checks
+
+
 def row_count_preservation(raw: Tables, clean: Tables) -> DataFrame:
-    return row_count_comparison(raw, clean).select(
-        F.concat("table", F.lit(" row-count preservation")).alias("check"),
-        "status",
-        X.text("Raw=", X.grouped_number("raw_rows"), "; Processed=", X.grouped_number("processed_rows"))
-        .alias("details"),
-        F.abs("difference").alias("count"),
-    )
+    counts = [row_count(tables[t], f"{name}_{t}") for t in CLEANERS for name, tables in (("raw", raw), ("rows", clean))]
+    return check_rows(one_row(*counts), _preservation_checks(), COUNT)
+
+
+def _pk_checks() -> list[Check]:
+    checks = []
+    for table, key in PRIMARY_KEYS.items():
+        nulls, duplicates = _c(f"{table}_nulls"), _c(f"{table}_duplicates")
+        checks.append(Check(
+            f"{table}.{key} uniqueness", verdict(nulls + duplicates == 0),
+            X.text("Nulls=", nulls, "; duplicates=", duplicates), nulls + duplicates))
+    return checks
 
 
 def processed_pk(clean: Tables) -> DataFrame:
-    bad = _c("nulls") + _c("duplicates")
-    return union_all([
-        check_rows(key_measures(clean[table], key), [Check(
-            f"{table}.{key} uniqueness", verdict(bad == 0),
-            X.text("Nulls=", _c("nulls"), "; duplicates=", _c("duplicates")), bad,
-        )], COUNT)
-        for table, key in PRIMARY_KEYS.items()])
+    counts = K.key_counts(clean, K.relationship_keys((), PRIMARY_KEYS))
+    return check_rows(counts.agg(*pk_measures()), _pk_checks(), COUNT)
+
+
+def _fk_checks() -> list[Check]:
+    return [_zero(f"{child}.{key}", f"{child}_{key}_orphans", "Orphan keys=") for child, key, _, _ in FOREIGN_KEYS]
 
 
 def processed_fk(clean: Tables) -> DataFrame:
-    return union_all([
-        check_rows(orphan_measures(clean[child], key, clean[parent], parent_key),
-                   [_zero(f"{child}.{key}", "orphans", "Orphan keys=")], COUNT)
-        for child, key, parent, parent_key in FOREIGN_KEYS])
+    counts = K.key_counts(clean, K.relationship_keys(FOREIGN_KEYS, {}))
+    return check_rows(counts.agg(*fk_measures()), _fk_checks(), COUNT)
 
 
-def processed_numeric(clean: Tables) -> DataFrame:
+def _numeric_measures() -> dict[str, list[Column]]:
     dimensions = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
     negative = [F.count_if(_c(d) < 0) for d in dimensions]
-    measures = one_row(
-        clean["order_items"].agg(
-            F.count_if(_c("price") < 0).alias("price"), F.count_if(_c("freight_value") < 0).alias("freight")),
-        clean["payments"].agg(
+    return {
+        "order_items": [
+            F.count_if(_c("price") < 0).alias("price"), F.count_if(_c("freight_value") < 0).alias("freight")],
+        "payments": [
             F.count_if(_c("payment_value") < 0).alias("payment"),
             F.count_if(_c("payment_installments") == 0).alias("zero"),
-            F.count_if(_c("payment_installments") < 1).alias("below_one")),
-        clean["reviews"].agg(
-            F.count_if(_c("review_score").isNotNull() & ~_c("review_score").isin(*REVIEW_SCORES)).alias("scores")),
-        clean["products"].agg(sum(negative[1:], negative[0]).alias("dimensions")),
-    )
-    return check_rows(measures, [
+            F.count_if(_c("payment_installments") < 1).alias("below_one")],
+        "reviews": [
+            F.count_if(_c("review_score").isNotNull() & ~_c("review_score").isin(*REVIEW_SCORES)).alias("scores")],
+        "products": [sum(negative[1:], negative[0]).alias("dimensions")],
+    }
+
+
+def _numeric_checks() -> list[Check]:
+    return [
         _zero("order_items.price >= 0", "price", "Invalid values="),
         _zero("order_items.freight_value >= 0", "freight", "Invalid values="),
         _zero("payments.payment_value >= 0", "payment", "Invalid values="),
@@ -155,18 +173,29 @@ def processed_numeric(clean: Tables) -> DataFrame:
         ),
         _zero("reviews.review_score between 1 and 5", "scores", "Invalid values="),
         _zero("products dimensions >= 0", "dimensions", "Invalid dimension values="),
-    ], COUNT)
+    ]
 
 
-def delivery_metric_consistency(clean: Tables) -> DataFrame:
+def _passes(clean: Tables, measures: Mapping[str, list[Column]]) -> list[DataFrame]:
+    return [clean[table].agg(*columns) for table, columns in measures.items()]
+
+
+def processed_numeric(clean: Tables) -> DataFrame:
+    return check_rows(one_row(*_passes(clean, _numeric_measures())), _numeric_checks(), COUNT)
+
+
+def _delivery_measures() -> list[Column]:
     flags = [F.count_if(_c(flag).isNull()) for flag, _, _ in LIFECYCLE_FLAGS]
-    measures = clean["orders"].agg(
+    return [
         F.count_if(_c("delivery_days") < 0).alias("negative"),
         F.count_if(_c("estimated_delivery_days") < 0).alias("negative_estimate"),
         F.count_if(_c("is_late").isNotNull() & _c("delivery_delay_days").isNull()).alias("late"),
         sum(flags[1:], flags[0]).alias("unset"),
-    )
-    return check_rows(measures, [
+    ]
+
+
+def _delivery_checks() -> list[Check]:
+    return [
         _zero("orders.delivery_days >= 0", "negative", "Deliveries before the purchase=", "REVIEW"),
         _zero("orders.estimated_delivery_days >= 0", "negative_estimate", "Estimates before the purchase="),
         _zero("orders.is_late consistency", "late", "Late or not without a delay="),
@@ -177,49 +206,88 @@ def delivery_metric_consistency(clean: Tables) -> DataFrame:
             .otherwise(X.text("Flags not set=", _c("unset"))),
             _c("unset"),
         ),
-    ], COUNT)
+    ]
+
+
+def delivery_metric_consistency(clean: Tables) -> DataFrame:
+    return check_rows(clean["orders"].agg(*_delivery_measures()), _delivery_checks(), COUNT)
+
+
+def _item_keys(items: DataFrame) -> list[K.Key]:
+    """The business key and, as a digest, the whole transaction."""
+    return [
+        K.Key("item", "order_items", K.joined(*ITEM_KEY)),
+        K.Key("transaction", "order_items", K.digest(items, *ITEM_IDENTITY)),
+    ]
+
+
+def _item_key_measures() -> list[Column]:
+    def repeated(kind: str) -> Column:
+        return K.rows_with(kind, "order_items") - K.values_with(kind, "order_items")
+    return [repeated("item").alias("item_duplicates"), repeated("transaction").alias("transaction_duplicates")]
+
+
+def _item_key_checks() -> list[Check]:
+    return [
+        _zero("order_items order_id + order_item_id uniqueness", "item_duplicates", "Duplicate rows="),
+        _zero("order_items transactional uniqueness", "transaction_duplicates", "Duplicate transactional rows="),
+    ]
 
 
 def processed_business_keys(clean: Tables) -> DataFrame:
-    items = clean["order_items"]
-    measures = one_row(
-        key_measures(items, *ITEM_KEY).select("duplicates"),
-        exact_duplicate_rows(items.select(*ITEM_IDENTITY)))
-    return check_rows(measures, [
-        _zero("order_items order_id + order_item_id uniqueness", "duplicates", "Duplicate rows="),
-        _zero("order_items transactional uniqueness", "duplicate_rows", "Duplicate transactional rows="),
-    ], COUNT)
+    counts = K.key_counts(clean, _item_keys(clean["order_items"]))
+    return check_rows(counts.agg(*_item_key_measures()), _item_key_checks(), COUNT)
 
 
-def derived_field_recompute(clean: Tables) -> DataFrame:
+def _derived_measures() -> dict[str, list[Column]]:
     price, freight = _c("price"), _c("freight_value")
     expected_ratio = F.when(price > 0, freight / price)
     delay = X.days_between("order_estimated_delivery_date", "order_delivered_customer_date")
-    measures = one_row(
-        clean["order_items"].agg(
+    return {
+        "order_items": [
             F.count_if(F.abs(_c("item_total_value") - (price + freight)) > 0.01).alias("totals"),
-            F.count_if(F.abs(_c("freight_ratio") - expected_ratio) > 0.0001).alias("ratios")),
-        clean["orders"].agg(F.count_if(F.abs(_c("delivery_delay_days") - delay) > 0.01).alias("delays")),
-    )
-    return check_rows(measures, [
+            F.count_if(F.abs(_c("freight_ratio") - expected_ratio) > 0.0001).alias("ratios")],
+        "orders": [F.count_if(F.abs(_c("delivery_delay_days") - delay) > 0.01).alias("delays")],
+    }
+
+
+def _derived_checks() -> list[Check]:
+    return [
         _zero("order_items.item_total_value calculation", "totals", "Incorrect calculated values="),
         _zero("order_items.freight_ratio calculation", "ratios", "Incorrect calculated values="),
         _zero("orders.delivery_delay_days calculation", "delays", "Incorrect calculated values="),
-    ], COUNT)
+    ]
+
+
+def derived_field_recompute(clean: Tables) -> DataFrame:
+    return check_rows(one_row(*_passes(clean, _derived_measures())), _derived_checks(), COUNT)
 
 
 def processed_data_validation(raw: Tables, clean: Tables, listed: Collection[str] | None = None) -> DataFrame:
-    """The whole report on the cleaned tables."""
-    return union_all([
-        processed_tables_exist(row_count(clean["translation"], "n"), clean if listed is None else listed),
-        row_count_preservation(raw, clean),
-        processed_pk(clean),
-        processed_fk(clean),
-        processed_numeric(clean),
-        delivery_metric_consistency(clean),
-        processed_business_keys(clean),
-        derived_field_recompute(clean),
-    ])
+    """The whole report on the cleaned tables: raw tables are counted, cleaned ones read at most twice (keys, values)."""
+    measures = {table: [F.count(F.lit(1)).alias(f"rows_{table}")] for table in CLEANERS}
+    for more in (_numeric_measures(), {"orders": _delivery_measures()}, _derived_measures()):
+        for table, columns in more.items():
+            measures[table] += columns
+    # A cleaned table that has keys and no values to check is counted with its keys.
+    counted = [table for table in PRIMARY_KEYS if len(measures[table]) == 1]
+    keys = K.key_counts(clean, [*K.relationship_keys(FOREIGN_KEYS, PRIMARY_KEYS), *_item_keys(clean["order_items"])])
+    found = one_row(
+        *[row_count(raw[table], f"raw_{table}") for table in CLEANERS],
+        *_passes(clean, {table: columns for table, columns in measures.items() if table not in counted}),
+        keys.agg(
+            *pk_measures(), *fk_measures(), *_item_key_measures(),
+            *[K.rows_with(PRIMARY_KEYS[table], table).alias(f"rows_{table}") for table in counted]))
+    return check_rows(found, [
+        _availability(clean if listed is None else listed),
+        *_preservation_checks(),
+        *_pk_checks(),
+        *_fk_checks(),
+        *_numeric_checks(),
+        *_delivery_checks(),
+        *_item_key_checks(),
+        *_derived_checks(),
+    ], COUNT)
 
 
 # --- model ---------------------------------------------------------------------------------
