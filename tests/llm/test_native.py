@@ -78,6 +78,65 @@ def test_templates_need_their_phrase(spark):
     assert (got[1], got[2], got[3], got[4], got[10]) == ("gpl", "", "mit", "all-rights-reserved", "")
 
 
+def labels_by_rule(text, idf):
+    """Labels and score by the stated method, offset by offset."""
+    words = words_of(text)
+    known = sorted(set(words) & set(L.vocabulary()), key=lambda w: (-idf[w], w))
+    labels, best = set(base_of(text)[4].split(",")) - {""}, 0.0
+    for label, notice, phrase in L.TEMPLATES:
+        notice, phrase = words_of(notice), words_of(phrase)
+        start = next(k for k in range(len(notice)) if notice[k:k + len(phrase)] == phrase)
+        asked = [w for w in known if w in notice][:L.LOOKED_UP]
+        weight = sum(idf[w] for w in notice)
+        if sum(idf[w] for w in notice if w in known) / weight < L.MIN_SCORE - 1e-9:
+            continue
+        for o in range(-start, len(words)):
+            there = [0 <= o + k < len(words) and words[o + k] == w for k, w in enumerate(notice)]
+            support = {w for k, w in enumerate(notice) if there[k]} & set(asked)
+            if words[o + start:o + start + len(phrase)] == phrase and len(support) >= min(2, len(asked)):
+                score = sum(idf[w] for k, w in enumerate(notice) if there[k]) / weight
+                best = max(best, score)
+                labels |= {label} if round(score, 9) >= L.MIN_SCORE else set()
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_match_the_rule(spark):
+    rng = random.Random(8)
+    notices = [n for _, n, _ in L.TEMPLATES]
+    rows = []
+    for k in range(150):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            words = rng.choice(notices).split()
+            for _ in range(rng.choice([0, 0, 1, 3, 9])):  # edits: words lost, changed, added
+                at = rng.randrange(len(words))
+                words[at:at + 1] = rng.choice([[], ["lorem"], [words[at], "ipsum"]])
+                words = words or ["x"]
+            cut = rng.randrange(len(words)) if rng.random() < 0.3 else 0
+            parts += [" ".join(words[cut:]), "some words between the notices of a file"]
+        rows.append((k, "\n".join(parts[rng.randrange(2):])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf, found = L.inverse_frequencies(docs), set()
+    for r in L.scan(docs, own=["doc_id"]).select("own.doc_id", "labels", "score").collect():
+        labels, score = labels_by_rule(dict(rows)[r["doc_id"]], idf)
+        assert r["labels"] == labels and abs(r["score"] - score) < 1e-8
+        found |= set(labels.split(","))
+    assert found >= {"mit", "apache-2", "gpl", "lgpl", "agpl", "bsd", "isc", "mpl-2"}
+
+
+def test_whole_notices_with_changed_words_are_found(spark):
+    rows = []
+    for k, (_, notice, phrase) in enumerate(L.TEMPLATES):
+        words, fixed = words_of(notice), set(words_of(phrase))
+        if len(words) > 25:
+            other = [i for i, w in enumerate(words) if w not in fixed][::6]  # the key phrase is mandatory, others may differ
+            rows.append((k, "x " * 7 + " ".join("foo" if i in other else w for i, w in enumerate(words))))
+    got = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), own=["doc_id"]).select("own.doc_id", "labels").collect()
+    assert len(got) == len(rows) >= 8
+    for r in got:
+        assert L.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",")
+
+
 def test_licenses_of_odd_rows(spark, odd):
     rows = L.scan(odd).collect()
     assert len(rows) == len(ODD) and {r["n_base"] for r in rows} == {0}
