@@ -32,7 +32,7 @@ def invalid_date_sequences(orders: DataFrame) -> DataFrame:
     """One row per order and violated rule, found in a single pass."""
     parsed = orders.select("order_id", "order_status", *[X.to_time(c).alias(c) for c in LIFECYCLE_TIMES])
     broken = F.array_compact(F.array(*[
-        F.when(F.col(first) < F.col(second), F.lit(name)) for name, first, second, _ in EXTRACTED_RULES]))
+        F.when(F.col(first) < F.col(second), F.lit(name)) for name, first, second in EXTRACTED_RULES]))
     return parsed.select("*", F.explode(broken).alias("anomaly_type"))
 
 
