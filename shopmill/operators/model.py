@@ -70,14 +70,29 @@ def fact_order_items(
 
 # --- order grain --------------------------------------------------------------------
 
+def _distinct_values(column: str):
+    """Aggregate: number of distinct values, for groups whose values fit a task (those of one order)."""
+    return F.size(F.collect_set(column)).cast("bigint")
+
+
 def agg_order_items(items: DataFrame) -> DataFrame:
+    """Item aggregate, from one exchange of the items' narrow columns.
+
+    An order has a few items: combining them on the map side, or expanding them for two distinct
+    counts, would fill every map task with groups of one row.  A hot order is streamed by one task,
+    which keeps its distinct products and sellers.
+    """
+    numbered = F.col("order_item_id").isNotNull()
+    measured = items.where(F.col("order_id").isNotNull()).select(
+        "order_id", numbered.alias("numbered"), "product_id", "seller_id",
+        "item_revenue", "item_freight", "item_total_value")
     return (
-        items.where(F.col("order_id").isNotNull())
+        measured.repartition("order_id")
         .groupBy("order_id")
         .agg(
-            F.count("order_item_id").alias("item_count"),
-            F.count_distinct("product_id").alias("unique_products"),
-            F.count_distinct("seller_id").alias("unique_sellers"),
+            F.count_if("numbered").alias("item_count"),
+            _distinct_values("product_id").alias("unique_products"),
+            _distinct_values("seller_id").alias("unique_sellers"),
             F.coalesce(X.exact_sum("item_revenue"), F.lit(0.0)).alias("product_revenue"),
             F.coalesce(X.exact_sum("item_freight"), F.lit(0.0)).alias("freight_value"),
             F.coalesce(X.exact_sum("item_total_value"), F.lit(0.0)).alias("order_item_total_value"),

@@ -156,3 +156,9 @@ def test_sample_item_numbers_are_unique(spark):
     for sf in ("sf0.001", "sf0.01", "sf0.1"):
         df = samples.order_items(spark, f"/root/testdata/{sf}")
         assert df.select("order_id", "order_item_id").distinct().count() == df.count()
+
+
+def test_item_aggregate_copies_no_row_and_shuffles_once(spark):
+    df = M.agg_order_items(items(spark, ("o", 1, "p", "s", 0.1, 0.0)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange") == 1
