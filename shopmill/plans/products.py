@@ -1,8 +1,9 @@
 """Product and seller marts over the item fact.
 
-The distinct counts are rewritten by Catalyst into a two-level aggregate whose
-first level is partitioned by (group, distinct value): a hot group is spread over
-all tasks and only partial counts meet.  Marts with one row per entity are not
+Every distinct count is an aggregate of its own over (group, value) pairs that are
+partitioned by both: a hot group is spread over all tasks and only partial counts meet.
+Several distinct counts in one aggregate would copy every row and its measures for each of
+them, and map tasks would spill groups of one row.  Marts with one row per entity are not
 sorted; a stored table has no order, and sorting it would be a needless exchange.
 
 Marts with one row per product or seller take items without those columns and a
@@ -14,6 +15,7 @@ items are those of a stored fact and hold the columns already.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,9 +25,24 @@ from shopmill.functions import exprs as X
 Attach = Callable[[DataFrame], DataFrame]
 
 
-def _volume(**distinct: str) -> list[Column]:
-    counts = [F.count_distinct(column).alias(name) for name, column in distinct.items()]
-    return [*counts, F.count(F.lit(1)).alias("order_items")]
+def _volume() -> Column:
+    return F.count(F.lit(1)).alias("order_items")
+
+
+def _grouped(items: DataFrame, keys: list[str], distinct: dict[str, str], measures: list[Column], fine: bool = False) -> DataFrame:
+    """Distinct values of columns (by name of the count) and measures of every group; NULL is a group.
+
+    `fine` says that there are many groups of few rows: their items meet before they are combined.  The parts
+    are put side by side by the group, without a join.
+    """
+    narrow = items.repartition(*keys) if fine else items
+    parts = [narrow.groupBy(*keys).agg(*measures)]
+    for name, column in distinct.items():
+        pairs = items.select(*keys, column).where(F.col(column).isNotNull()).repartition(*keys, column).distinct()
+        parts.append(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    counts = [F.coalesce(F.max(name), F.lit(0)).alias(name) for name in distinct]
+    return stacked.groupBy(*keys).agg(*counts, *[F.max(c).alias(c) for c in parts[0].columns if c not in keys])
 
 
 def _revenue_and_freight() -> list[Column]:
@@ -50,49 +67,50 @@ def _average_ratio(name: str = "average_freight_ratio") -> Column:
 
 def category_performance(items: DataFrame) -> DataFrame:
     """Items without a category form a group of their own."""
-    return (
-        items.groupBy("product_category")
-        .agg(*_volume(orders="order_id", unique_products="product_id"), *_revenue_and_freight(), _total(),
-             _average_price("average_item_price"), _average_value(), _average_ratio())
-        .orderBy(F.desc("revenue"), "product_category")
-    )
+    return _grouped(
+        items, ["product_category"], {"orders": "order_id", "unique_products": "product_id"},
+        [_volume(), *_revenue_and_freight(), _total(),
+         _average_price("average_item_price"), _average_value(), _average_ratio()],
+    ).orderBy(F.desc("revenue"), "product_category")
 
 
-def _per_entity(items: DataFrame, key: str, attributes: list[str], attach: Attach | None, measures: list[Column]) -> DataFrame:
+def _per_entity(
+    items: DataFrame, key: str, attributes: list[str], attach: Attach | None,
+    distinct: dict[str, str], measures: list[Column], fine: bool = False,
+) -> DataFrame:
     if attach is None:
-        return items.groupBy(key, *attributes).agg(*measures)
-    rows = items.groupBy(key).agg(*measures)
+        return _grouped(items, [key, *attributes], distinct, measures, fine)
+    rows = _grouped(items, [key], distinct, measures, fine)
     return attach(rows).select(key, *attributes, *[c for c in rows.columns if c != key])
 
 
 def product_performance(items: DataFrame, attach: Attach | None = None) -> DataFrame:
     return _per_entity(
         items, "product_id", ["product_category", "product_category_name_english"], attach,
-        [*_volume(orders="order_id", sellers="seller_id"), *_revenue_and_freight(), _total(),
-         _average_price("average_price"), _average_value(), _average_ratio()])
+        {"orders": "order_id", "sellers": "seller_id"},
+        [_volume(), *_revenue_and_freight(), _total(),
+         _average_price("average_price"), _average_value(), _average_ratio()], fine=True)
 
 
 def seller_performance(items: DataFrame, attach: Attach | None = None) -> DataFrame:
     return _per_entity(
         items, "seller_id", ["seller_city", "seller_state"], attach,
-        [*_volume(orders="order_id", unique_products="product_id"), *_revenue_and_freight(), _total(),
+        {"orders": "order_id", "unique_products": "product_id"},
+        [_volume(), *_revenue_and_freight(), _total(),
          _average_price("average_item_price"), _average_value(), _average_ratio()])
 
 
 def seller_category_performance(items: DataFrame) -> DataFrame:
-    return (
-        items.groupBy("seller_id", "seller_state", "product_category")
-        .agg(*_volume(orders="order_id"), *_revenue_and_freight(), _average_price("average_item_price"))
-    )
+    return _grouped(
+        items, ["seller_id", "seller_state", "product_category"], {"orders": "order_id"},
+        [_volume(), *_revenue_and_freight(), _average_price("average_item_price")], fine=True)
 
 
 def seller_state_performance(items: DataFrame) -> DataFrame:
-    return (
-        items.groupBy("seller_state")
-        .agg(*_volume(sellers="seller_id", orders="order_id"), *_revenue_and_freight(), _total(),
-             _average_value(), _average_ratio())
-        .orderBy(F.desc("revenue"), "seller_state")
-    )
+    return _grouped(
+        items, ["seller_state"], {"sellers": "seller_id", "orders": "order_id"},
+        [_volume(), *_revenue_and_freight(), _total(), _average_value(), _average_ratio()],
+    ).orderBy(F.desc("revenue"), "seller_state")
 
 
 # --- reports: top ten by revenue, the key breaks ties -------------------------------

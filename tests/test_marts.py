@@ -113,3 +113,19 @@ def test_rfm_with_a_fixed_reference_date(spark):
                                "first_order_date timestamp_ntz, last_order_date timestamp_ntz, total_product_revenue double")
     row = rfm.customer_rfm(df, dt.date(2018, 10, 17)).first()
     assert (row.recency, row.frequency_score, row.recency_score, row.rfm_score) == (10, 5, 1, "151")
+
+
+def test_distinct_counts_copy_no_row_and_keep_null_groups(spark):
+    items = spark.createDataFrame(
+        [("o1", "p", "s", 1.0), ("o1", "p", "t", 2.0), (None, "p", None, 3.0), ("o2", None, "s", 4.0), (None, None, None, 5.0)],
+        "order_id string, product_id string, seller_id string, price double").selectExpr(
+        "*", "'k' product_category", "'K' product_category_name_english", "'c' seller_city", "'S' seller_state",
+        "price item_revenue", "0.5D item_freight", "price + 0.5D item_total_value", "0.25D freight_ratio")
+    df = products.product_performance(items)
+    assert {r.product_id: (r.orders, r.sellers, r.order_items, r.revenue) for r in df.collect()} == {
+        "p": (1, 2, 3, 6.0), None: (1, 1, 2, 9.0)}
+    assert {r.seller_id: (r.orders, r.unique_products) for r in products.seller_performance(items).collect()} == {
+        "s": (2, 1), "t": (1, 1), None: (0, 1)}
+    for mart in (products.category_performance, products.product_performance, products.seller_performance,
+                 products.seller_state_performance):
+        assert "Expand" not in mart(items)._jdf.queryExecution().executedPlan().toString()
