@@ -162,3 +162,28 @@ def test_item_aggregate_copies_no_row_and_shuffles_once(spark):
     df = M.agg_order_items(items(spark, ("o", 1, "p", "s", 0.1, 0.0)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and plan.count("Exchange") == 1
+
+
+def test_no_exchange_of_the_order_fact_carries_derived_columns(spark, sample):
+    house = Warehouse(samples.raw_tables(spark, sample))
+    wide = house.clean["orders"]
+    df = house.orders(customers=True, items=True, payments=True, reviews=True)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    assert "order_purchase_weekday" not in plan.toString().split("Join", 1)[1]
+    joined = wide.join(house.clean["customers"].select("customer_id", "customer_state"), "customer_id", "left")
+    assert df.columns[:len(wide.columns)] == wide.columns
+    assert df.select(joined.columns).exceptAll(joined).count() == 0 and df.count() == wide.count()
+    bare = spark.createDataFrame([("o", "c", True)], "order_id string, customer_id string, is_late boolean")
+    assert M.fact_orders(bare, house.clean["customers"]).first().is_late
+
+
+def test_rows_meet_only_where_hashes_repeat(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "concat('t', id) t").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 4000)
+    try:
+        found = guards.rows_with_repeated_hash(df, "id", "t")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
