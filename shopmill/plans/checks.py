@@ -56,10 +56,14 @@ def key_sizes(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def key_measures(df: DataFrame, *keys: str, prefix: str = "") -> DataFrame:
-    """One row: rows, rows with a NULL in a single key, rows beyond the first per key."""
+    """One row: rows, rows with a NULL in a single key, rows beyond the first per key.
+
+    Keys hardly repeat, so rows meet by key before they are counted: combining them in the map tasks
+    would fill these with groups of one row.
+    """
     missing = F.sum(F.when(F.col(keys[0]).isNull(), F.col("n")))
     rows = F.coalesce(F.sum("n"), F.lit(0))
-    return key_sizes(df, *keys).agg(
+    return key_sizes(df.select(*keys).repartition(*keys), *keys).agg(
         rows.alias(f"{prefix}rows"),
         F.coalesce(missing, F.lit(0)).alias(f"{prefix}nulls"),
         (rows - F.count(F.lit(1))).alias(f"{prefix}duplicates"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shopmill.operators import guards
 from shopmill.plans import investigate as I, quality as A, validate as V
+from shopmill.plans.checks import key_measures
 from shopmill.plans.warehouse import Warehouse
 from shopmill.sources import samples
 from shopmill.sources.writers import save_table
@@ -178,3 +179,11 @@ def test_catalog_report_names_missing_and_extra_tables(spark, model):
     assert report["No unexpected analytical tables"].status == "FAIL"
     assert report["operations_summary row count"].status == "PASS"
     assert report["fact_orders row count"].details == "Expected=1; Actual=1,500"
+
+
+def test_keys_meet_before_they_are_counted(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), (None, 2), ("b", 1)], "k string, v int")
+    measures = key_measures(df, "k", "v")
+    assert tuple(measures.first()) == (5, 2, 2)
+    plan = measures._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan.split("HashAggregate(keys=[k")[-1]
