@@ -144,12 +144,19 @@ def processed_fk(clean: Tables) -> DataFrame:
     return check_rows(counts.agg(*fk_measures()), _fk_checks(), COUNT)
 
 
+def _counted(rules: Mapping[str, Column]) -> list[Column]:
+    return [F.count_if(rule).alias(name) for name, rule in rules.items()]
+
+
+def _item_value_rules() -> dict[str, Column]:
+    return {"price": _c("price") < 0, "freight": _c("freight_value") < 0}
+
+
 def _numeric_measures() -> dict[str, list[Column]]:
     dimensions = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
     negative = [F.count_if(_c(d) < 0) for d in dimensions]
     return {
-        "order_items": [
-            F.count_if(_c("price") < 0).alias("price"), F.count_if(_c("freight_value") < 0).alias("freight")],
+        "order_items": _counted(_item_value_rules()),
         "payments": [
             F.count_if(_c("payment_value") < 0).alias("payment"),
             F.count_if(_c("payment_installments") == 0).alias("zero"),
@@ -214,7 +221,7 @@ def delivery_metric_consistency(clean: Tables) -> DataFrame:
 
 
 def _item_keys(items: DataFrame) -> list[K.Key]:
-    """The business key and, as a digest, the whole transaction."""
+    """The business key and, as a digest, the whole transaction: the plain form, which tests compare with `K.repeats`."""
     return [
         K.Key("item", "order_items", K.joined(*ITEM_KEY)),
         K.Key("transaction", "order_items", K.digest(items, *ITEM_IDENTITY)),
@@ -229,24 +236,28 @@ def _item_key_measures() -> list[Column]:
 
 def _item_key_checks() -> list[Check]:
     return [
-        _zero("order_items order_id + order_item_id uniqueness", "item_duplicates", "Duplicate rows="),
-        _zero("order_items transactional uniqueness", "transaction_duplicates", "Duplicate transactional rows="),
+        _zero("order_items order_id + order_item_id uniqueness", "item_key_repeats", "Duplicate rows="),
+        _zero("order_items transactional uniqueness", "item_row_repeats", "Duplicate transactional rows="),
     ]
 
 
 def processed_business_keys(clean: Tables) -> DataFrame:
-    counts = K.key_counts(clean, _item_keys(clean["order_items"]))
-    return check_rows(counts.agg(*_item_key_measures()), _item_key_checks(), COUNT)
+    return check_rows(K.repeats(clean["order_items"], ITEM_KEY, ITEM_IDENTITY, {}, "item"), _item_key_checks(), COUNT)
 
 
-def _derived_measures() -> dict[str, list[Column]]:
+def _item_derived_rules() -> dict[str, Column]:
     price, freight = _c("price"), _c("freight_value")
     expected_ratio = F.when(price > 0, freight / price)
+    return {
+        "totals": F.abs(_c("item_total_value") - (price + freight)) > 0.01,
+        "ratios": F.abs(_c("freight_ratio") - expected_ratio) > 0.0001,
+    }
+
+
+def _derived_measures() -> dict[str, list[Column]]:
     delay = X.days_between("order_estimated_delivery_date", "order_delivered_customer_date")
     return {
-        "order_items": [
-            F.count_if(F.abs(_c("item_total_value") - (price + freight)) > 0.01).alias("totals"),
-            F.count_if(F.abs(_c("freight_ratio") - expected_ratio) > 0.0001).alias("ratios")],
+        "order_items": _counted(_item_derived_rules()),
         "orders": [F.count_if(F.abs(_c("delivery_delay_days") - delay) > 0.01).alias("delays")],
     }
 
@@ -264,19 +275,25 @@ def derived_field_recompute(clean: Tables) -> DataFrame:
 
 
 def processed_data_validation(raw: Tables, clean: Tables, listed: Collection[str] | None = None) -> DataFrame:
-    """The whole report on the cleaned tables: raw tables are counted, cleaned ones read at most twice (keys, values)."""
+    """The whole report on the cleaned tables: raw tables are counted, cleaned ones read at most twice (keys, values).
+
+    The values of the items are checked where their business keys meet.
+    """
     measures = {table: [F.count(F.lit(1)).alias(f"rows_{table}")] for table in CLEANERS}
     for more in (_numeric_measures(), {"orders": _delivery_measures()}, _derived_measures()):
         for table, columns in more.items():
             measures[table] += columns
     # A cleaned table that has keys and no values to check is counted with its keys.
     counted = [table for table in PRIMARY_KEYS if len(measures[table]) == 1]
-    keys = K.key_counts(clean, [*K.relationship_keys(FOREIGN_KEYS, PRIMARY_KEYS), *_item_keys(clean["order_items"])])
+    keys = K.key_counts(clean, K.relationship_keys(FOREIGN_KEYS, PRIMARY_KEYS))
+    items = K.repeats(
+        clean["order_items"], ITEM_KEY, ITEM_IDENTITY, _item_value_rules() | _item_derived_rules(), "item")
     found = one_row(
         *[row_count(raw[table], f"raw_{table}") for table in CLEANERS],
-        *_passes(clean, {table: columns for table, columns in measures.items() if table not in counted}),
+        *_passes(clean, {table: columns for table, columns in measures.items() if table not in (*counted, "order_items")}),
+        items.withColumnRenamed("item_rows", "rows_order_items"),
         keys.agg(
-            *pk_measures(), *fk_measures(), *_item_key_measures(),
+            *pk_measures(), *fk_measures(),
             *[K.rows_with(PRIMARY_KEYS[table], table).alias(f"rows_{table}") for table in counted]))
     return check_rows(found, [
         _availability(clean if listed is None else listed),

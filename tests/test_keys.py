@@ -8,7 +8,7 @@ from shopmill.operators.cleaning import CLEANERS
 from shopmill.operators.guards import rows_with_repeated_hash
 from shopmill.plans import keys as K, quality as A, validate as V
 from shopmill.plans.checks import key_sizes
-from shopmill.plans.investigate import ITEM_IDENTITY
+from shopmill.plans.investigate import ITEM_IDENTITY, ITEM_KEY
 from shopmill.plans.warehouse import Warehouse
 from shopmill.sources import samples
 from shopmill.sources.scratch import materialize
@@ -118,3 +118,34 @@ def test_lost_rows_of_every_table_are_named(spark, raw, clean):
     short = {t: df.limit(5) for t, df in clean.items()}
     rows = {r["check"]: r for r in V.processed_data_validation(raw, short).collect()}
     assert {rows[f"{t} row-count preservation"].status for t in CLEANERS} == {"FAIL"}
+
+
+def test_groups_of_keys_hold_no_more_counters_than_tables_share_a_kind(spark):
+    tables = {t: spark.createDataFrame(rows, "k string, l string") for t, rows in {
+        "a": [("x", "x"), ("x", None)], "b": [("x", "y"), (None, "x")], "c": [("z", "y")]}.items()}
+    keys = [K.plain("a", "k"), K.plain("b", "k"), K.plain("b", "l"), K.plain("c", "l"), K.plain("c", "m"), K.plain("a", "m")]
+    tables = {t: df.withColumn("m", F.lit("x")) for t, df in tables.items()}
+    counts = K.key_counts(tables, keys)
+    assert counts.columns == ["kind", "value", "n_a", "n_b", "n_c"]
+    assert {tuple(r) for r in counts.collect()} == {
+        ("k", "x", 2, 1, 0), ("k", None, 0, 1, 0), ("l", "y", 0, 1, 1), ("l", "x", 0, 1, 0), ("m", "x", 2, 0, 1)}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("partial_count(") == 2
+
+
+def test_repeated_items_are_counted_where_their_values_are_checked(spark, clean):
+    items = clean["order_items"].limit(500)
+    more = items.unionAll(items.limit(9)).unionAll(items.limit(4)).unionAll(
+        items.limit(2).withColumn("price", F.lit(-1.0))).unionAll(items.limit(1).withColumn("price", F.lit(-0.0))).unionAll(
+        items.limit(1).withColumn("price", F.lit(0.0))).unionAll(items.limit(3).withColumn("order_id", F.lit(None).cast("string")))
+    rules = {"negative": F.col("price") < 0, "free": F.col("price") == 0, "unknown": F.lit(None).cast("boolean")}
+    found = K.repeats(more, ITEM_KEY, ITEM_IDENTITY, rules, "item").first()
+    plain = K.key_counts({"order_items": more}, V._item_keys(more)).agg(*V._item_key_measures()).first()
+    assert (found.item_key_repeats, found.item_row_repeats) == tuple(plain) == (9 + 4 + 4, 9 + 4 + 1)
+    assert (found.item_rows, found.negative, found.unknown) == (520, 2, 0) and found.free == more.where("price = 0").count()
+    assert tuple(K.repeats(more.limit(0), ITEM_KEY, ITEM_IDENTITY, rules, "item").first()) == (0,) * 6
+
+
+def test_the_validation_shuffles_each_item_key_once(spark, raw, clean):
+    plan = V.processed_data_validation(raw, clean)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transaction" not in plan and plan.count("RepartitionByExpression [order_id") == 1
