@@ -19,7 +19,7 @@ from shopmill.plans import (  # noqa: E402
     validate as V,
 )
 from shopmill.plans.warehouse import (  # noqa: E402
-    Warehouse, build_marts, operations_marts, product_seller_marts,
+    Warehouse, build_marts, operations_marts, product_seller_marts, stored_marts,
 )
 from shopmill.sources import samples  # noqa: E402
 from shopmill.sources.meter import Meter  # noqa: E402
@@ -240,7 +240,7 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "rfm_validation": lambda w: V.rfm_validation(
         R.customer_rfm(w.stored_model["dim_customers"], stored=True), w.stored_model["dim_customers"]),
     "product_seller_validation": lambda w: V.product_seller_validation(
-        w.stored_model["fact_order_items"], product_seller_marts(w.stored_model["fact_order_items"])),
+        w.stored_model["fact_order_items"], stored_marts(product_seller_marts(w.stored_model["fact_order_items"]))),
     "operations_validation": lambda w: V.operations_validation(
         w.stored_model["fact_order_items"], w.stored_model["fact_orders"],
         operations_marts(w.stored_model["fact_order_items"], w.stored_model["fact_orders"])),

@@ -2,6 +2,8 @@
 
 Every distinct count is an aggregate of its own over (group, value) pairs that are
 partitioned by both: a hot group is spread over all tasks and only partial counts meet.
+Where groups are many (sellers, products), a group is spread over a fixed number of pieces
+instead, so that the partial counts are few and do not grow with the number of tasks.
 Several distinct counts in one aggregate would copy every row and its measures for each of
 them, and map tasks would spill groups of one row.  Marts with one row per entity are not
 sorted; a stored table has no order, and sorting it would be a needless exchange.
@@ -21,25 +23,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopmill.functions import exprs as X
 
+#: In how many places the distinct values of one seller, or of one of many smaller groups, are counted.
+SELLER_PIECES, FINE_PIECES = 64, 8
+
 #: Adds the columns of products or sellers to rows that hold their id.
 Attach = Callable[[DataFrame], DataFrame]
 
 
-def _volume() -> Column:
+def volume() -> Column:
     return F.count(F.lit(1)).alias("order_items")
 
 
-def _grouped(items: DataFrame, keys: list[str], distinct: dict[str, str], measures: list[Column], fine: bool = False) -> DataFrame:
+def grouped(
+    items: DataFrame, keys: list[str], distinct: dict[str, str], measures: list[Column],
+    fine: bool = False, pieces: int | None = None,
+) -> DataFrame:
     """Distinct values of columns (by name of the count) and measures of every group; NULL is a group.
 
-    `fine` says that there are many groups of few rows: their items meet before they are combined.  The parts
-    are put side by side by the group, without a join.
+    `fine` says that there are many groups of few rows: their items meet before they are combined.  `pieces` is for
+    groups that are many in number: the values of one are counted in so many places at most, and not in every task, each of
+    which would send a row of its own for nearly every group.  The parts are put side by side by the group, without a join.
     """
     narrow = items.repartition(*keys) if fine else items
     parts = [narrow.groupBy(*keys).agg(*measures)]
     for name, column in distinct.items():
-        pairs = items.select(*keys, column).where(F.col(column).isNotNull()).repartition(*keys, column).distinct()
-        parts.append(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
+        pairs = items.select(*keys, column).where(F.col(column).isNotNull())
+        if pieces is None:
+            pairs = pairs.repartition(*keys, column)
+        else:
+            pairs = pairs.withColumn("piece", F.pmod(F.xxhash64(column), F.lit(pieces)).cast("smallint")).repartition(*keys, "piece")
+        parts.append(pairs.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     counts = [F.coalesce(F.max(name), F.lit(0)).alias(name) for name in distinct]
     return stacked.groupBy(*keys).agg(*counts, *[F.max(c).alias(c) for c in parts[0].columns if c not in keys])
@@ -67,20 +80,20 @@ def _average_ratio(name: str = "average_freight_ratio") -> Column:
 
 def category_performance(items: DataFrame) -> DataFrame:
     """Items without a category form a group of their own."""
-    return _grouped(
+    return grouped(
         items, ["product_category"], {"orders": "order_id", "unique_products": "product_id"},
-        [_volume(), *_revenue_and_freight(), _total(),
+        [volume(), *_revenue_and_freight(), _total(),
          _average_price("average_item_price"), _average_value(), _average_ratio()],
     ).orderBy(F.desc("revenue"), "product_category")
 
 
 def _per_entity(
     items: DataFrame, key: str, attributes: list[str], attach: Attach | None,
-    distinct: dict[str, str], measures: list[Column], fine: bool = False,
+    distinct: dict[str, str], measures: list[Column], fine: bool, pieces: int,
 ) -> DataFrame:
     if attach is None:
-        return _grouped(items, [key, *attributes], distinct, measures, fine)
-    rows = _grouped(items, [key], distinct, measures, fine)
+        return grouped(items, [key, *attributes], distinct, measures, fine, pieces)
+    rows = grouped(items, [key], distinct, measures, fine, pieces)
     return attach(rows).select(key, *attributes, *[c for c in rows.columns if c != key])
 
 
@@ -88,28 +101,28 @@ def product_performance(items: DataFrame, attach: Attach | None = None) -> DataF
     return _per_entity(
         items, "product_id", ["product_category", "product_category_name_english"], attach,
         {"orders": "order_id", "sellers": "seller_id"},
-        [_volume(), *_revenue_and_freight(), _total(),
-         _average_price("average_price"), _average_value(), _average_ratio()], fine=True)
+        [volume(), *_revenue_and_freight(), _total(),
+         _average_price("average_price"), _average_value(), _average_ratio()], True, FINE_PIECES)
 
 
 def seller_performance(items: DataFrame, attach: Attach | None = None) -> DataFrame:
     return _per_entity(
         items, "seller_id", ["seller_city", "seller_state"], attach,
         {"orders": "order_id", "unique_products": "product_id"},
-        [_volume(), *_revenue_and_freight(), _total(),
-         _average_price("average_item_price"), _average_value(), _average_ratio()])
+        [volume(), *_revenue_and_freight(), _total(),
+         _average_price("average_item_price"), _average_value(), _average_ratio()], False, SELLER_PIECES)
 
 
 def seller_category_performance(items: DataFrame) -> DataFrame:
-    return _grouped(
+    return grouped(
         items, ["seller_id", "seller_state", "product_category"], {"orders": "order_id"},
-        [_volume(), *_revenue_and_freight(), _average_price("average_item_price")], fine=True)
+        [volume(), *_revenue_and_freight(), _average_price("average_item_price")], True, FINE_PIECES)
 
 
 def seller_state_performance(items: DataFrame) -> DataFrame:
-    return _grouped(
+    return grouped(
         items, ["seller_state"], {"sellers": "seller_id", "orders": "order_id"},
-        [_volume(), *_revenue_and_freight(), _total(), _average_value(), _average_ratio()],
+        [volume(), *_revenue_and_freight(), _total(), _average_value(), _average_ratio()],
     ).orderBy(F.desc("revenue"), "seller_state")
 
 

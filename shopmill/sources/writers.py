@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopmill.sources.meter import Meter, rows_written
+from shopmill.sources.scratch import dropping_exchanges
 
 
 def save_folder(df: DataFrame, folder: str, name: str, partition_by: Sequence[str] = ()) -> str:
     """Replace the parquet table `folder/name`."""
     path = f"{folder.rstrip('/')}/{name}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    with dropping_exchanges(df.sparkSession):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 
 
@@ -47,7 +49,8 @@ def save_table(
 def save_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Headered, comma-separated files; one file only for tables of bounded size."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    with dropping_exchanges(df.sparkSession):
+        out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -129,3 +130,22 @@ def test_distinct_counts_copy_no_row_and_keep_null_groups(spark):
     for mart in (products.category_performance, products.product_performance, products.seller_performance,
                  products.seller_state_performance):
         assert "Expand" not in mart(items)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_seller_is_counted_in_few_places(spark):
+    """A seller's orders meet in a fixed number of pieces, not in every task, each of which would send a row for it."""
+    items = spark.range(4000).selectExpr(
+        "concat('o', id % 900) order_id", "concat('p', id % 70) product_id", "if(id % 3 = 0, 'hot', concat('s', id % 5)) seller_id",
+        "if(id % 3 = 0, 'c', 'd') seller_city", "if(id % 3 = 0, 'S', 'T') seller_state", "if(id % 2 > 0, 'k', null) product_category",
+        "if(id % 2 > 0, 'K', null) product_category_name_english", "1.5D price", "1.5D item_revenue", "0.5D item_freight", "2.0D item_total_value", "0.25D freight_ratio")
+    for mart, keys, distinct in (
+        (products.seller_performance, ["seller_id"], {"orders": "order_id", "unique_products": "product_id"}),
+        (products.product_performance, ["product_id", "product_category"], {"orders": "order_id", "sellers": "seller_id"}),
+        (products.seller_category_performance, ["seller_id", "product_category"], {"orders": "order_id"}),
+    ):
+        df = mart(items)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(", piece#") and "order_id#" not in "".join(re.findall(r"hashpartitioning\((.*?)\)", plan))
+        want = items.groupBy(*keys).agg(*[F.count_distinct(c).alias(n) for n, c in distinct.items()], F.sum("item_revenue").alias("revenue"))
+        columns = [*keys, *distinct, "revenue"]
+        assert df.select(columns).exceptAll(want.select(columns)).count() == 0 and df.count() == want.count()

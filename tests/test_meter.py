@@ -1,5 +1,6 @@
 """Counts taken while writing, and the checks that use them."""
 import re
+import time
 
 import __spark_entry__ as entry_module
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from shopmill.plans import validate as V
 from shopmill.sources.meter import Meter, rows_written
 from shopmill.sources.scratch import materialize
-from shopmill.sources.writers import EXPORT_TABLES, export_marts
+from shopmill.sources.writers import EXPORT_TABLES, export_marts, save_csv, save_folder
 
 
 def scans(df) -> int:
@@ -32,6 +33,31 @@ def test_meter_counts_once_behind_joins_and_shuffles(spark):
     assert meter.counted["t"]["rows"] == 5
 
 
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if "shuffle_" in (name := files.apply(i).getName())}
+
+
+def test_a_written_table_leaves_no_exchange(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    df = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k").groupBy("k").count()
+    for write in (lambda: materialize(df, "t"), lambda: save_folder(df, str(tmp_path), "t"),
+                  lambda: save_csv(df, f"{tmp_path}/csv")):
+        before = shuffle_files(spark)
+        write()
+        until = time.time() + 5  # executors drop the files a moment later
+        while (left := shuffle_files(spark) - before) and time.time() < until:
+            time.sleep(0.1)
+        assert not left and spark.conf.get(key) == setting
+
+
+def test_mart_checks_read_stored_marts(spark, sample):
+    for name, scanned in (("product_seller_validation", 3 + 4),):
+        checks = entry_module.queries()[name](spark, sample)
+        assert scans(checks) <= scanned and not checks.where("status <> 'PASS'").count()
+
+
 def test_export_counts_rows_with_line_breaks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "São\nPaulo"), (2, 'a "quoted",\r\nname'), (3, None)], "id long, city string")
     found = export_marts(spark, {name: rows for name in EXPORT_TABLES}, str(tmp_path))
