@@ -243,7 +243,7 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
         w.stored_model["fact_order_items"], stored_marts(product_seller_marts(w.stored_model["fact_order_items"]))),
     "operations_validation": lambda w: V.operations_validation(
         w.stored_model["fact_order_items"], w.stored_model["fact_orders"],
-        operations_marts(w.stored_model["fact_order_items"], w.stored_model["fact_orders"])),
+        stored_marts(operations_marts(w.stored_model["fact_order_items"], w.stored_model["fact_orders"]))),
     "date_dim_validation": lambda w: V.date_dim_validation(
         w.stored_model["fact_orders"], D.dim_date(w.stored_model["fact_orders"])),
     "fail_on_failures": lambda w: fail_on_failures(_model_validation(w), "model"),

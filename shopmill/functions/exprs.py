@@ -126,14 +126,17 @@ def as_units(c: Column | str, digits: int = 2) -> Column:
     return F.when(usable_amount(c), F.rint(c * F.lit(float(10 ** digits)))).cast("decimal(28,0)")
 
 
-def _total(c: Column, digits: int, weight: Column | None = None) -> Column:
-    """Aggregate: the exact sum, rounded to a double once."""
-    scale = 10 ** digits
+def whole_and_units(c: Column | str, digits: int = 2) -> tuple[Column, Column]:
+    """A usable amount as its whole part and its units behind the point: BIGINTs, for sums that are built in several steps."""
+    c = col(c)
     kept = F.when(usable_amount(c), c)
     whole = F.floor(kept)
-    units = F.rint((kept - whole.cast("double")) * F.lit(float(scale))).cast("bigint")
-    if weight is not None:
-        whole, units = whole * weight, units * weight
+    return whole, F.rint((kept - whole.cast("double")) * F.lit(float(10 ** digits))).cast("bigint")
+
+
+def total_of(whole: Column, units: Column, digits: int = 2) -> Column:
+    """Aggregate: the exact sum of amounts in two parts, rounded to a double once."""
+    scale = 10 ** digits
     whole, units = F.try_sum(whole), F.try_sum(units)
     wide = whole.cast("decimal(38,0)") * F.lit(scale).cast("decimal(9,0)") + units.cast("decimal(38,0)")
     fits = F.abs(whole) < F.lit(2 ** 52 // scale)
@@ -141,6 +144,13 @@ def _total(c: Column, digits: int, weight: Column | None = None) -> Column:
     return exact / F.lit(float(scale))
 
 
+def _total(c: Column, digits: int, weight: Column | None = None) -> Column:
+    whole, units = whole_and_units(c, digits)
+    if weight is not None:
+        whole, units = whole * weight, units * weight
+    return total_of(whole, units, digits)
+
+
 def exact_sum(c: Column | str, digits: int = 2) -> Column:
     """Sum over the non-NULL values, NULL when there are none."""
     return _total(col(c), digits)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shopmill.functions import exprs as X
+from shopmill.plans.products import grouped, volume
 
 _LATE = "is_delivered AND is_late"
 _KNOWN = "is_delivered AND is_late IS NOT NULL"
@@ -155,19 +156,13 @@ def review_score_distribution(orders: DataFrame) -> DataFrame:
 
 def category_operations(items: DataFrame) -> DataFrame:
     revenue, freight = X.exact_sum("item_revenue"), X.exact_sum("item_freight")
-    return (
-        items.groupBy("product_category")
-        .agg(
-            F.count_distinct("order_id").alias("orders"),
-            F.count(F.lit(1)).alias("order_items"),
-            revenue.alias("revenue"),
-            freight.alias("freight"),
-            X.round_half_away(freight / F.nullif(revenue, F.lit(0.0)), 4).alias("freight_to_revenue_ratio"),
-            _average("freight_ratio", 4).alias("average_item_freight_ratio"),
-            _average("item_total_value").alias("average_item_value"),
-        )
-        .orderBy(F.desc("revenue"), "product_category")
-    )
+    return grouped(
+        items, ["product_category"], {"orders": "order_id"},
+        [volume(), revenue.alias("revenue"), freight.alias("freight"),
+         X.round_half_away(freight / F.nullif(revenue, F.lit(0.0)), 4).alias("freight_to_revenue_ratio"),
+         _average("freight_ratio", 4).alias("average_item_freight_ratio"),
+         _average("item_total_value").alias("average_item_value")],
+    ).orderBy(F.desc("revenue"), "product_category")
 
 
 # --- seller marts: items joined with their orders --------------------------------------
@@ -175,26 +170,36 @@ def category_operations(items: DataFrame) -> DataFrame:
 SELLER_PLACE = ["seller_city", "seller_state"]
 
 
-def _pairs_with_orders(items: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs_with_orders(
+    items: DataFrame, orders: DataFrame, keys: list[str], first: list[str] | None = None,
+) -> DataFrame:
     """One row per keys and order, carrying the number of items it stands for.
 
     Reducing the items before the join keeps an order with very many items from
     filling one join task, and makes 'distinct orders' a plain row count.  Means
     stay at item grain by weighting with `n`.  Items meet by order, where the join wants them: in
-    the map tasks nearly every pair would be a group of one row.
+    the map tasks nearly every pair would be a group of one row.  `first` marks one row
+    of each order and these keys, for counts of orders by fewer keys; the join needs that sort anyway.
     """
     narrow = items.select(*keys, "order_id", "item_revenue", "item_freight").repartition("order_id")
+    parts = {name: X.whole_and_units(f"item_{name}") for name in ("revenue", "freight")}
     pairs = narrow.groupBy(*keys, "order_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(X.as_units("item_revenue")).alias("revenue_units"),
-        F.sum(X.as_units("item_freight")).alias("freight_units"),
-    )
+        *[F.try_sum(part).alias(f"{name}_{which}") for name, found in parts.items()
+          for which, part in zip(("whole", "units"), found)])
+    if first is not None:
+        pairs = pairs.withColumn(
+            "first", F.row_number().over(Window.partitionBy("order_id", *first).orderBy(*[k for k in keys if k not in first])) == 1)
     outcome = orders.select(
         "order_id", "is_delivered", "is_late", "delivery_days", "delivery_delay_days",
         *[c for c in ("average_review_score",) if c in orders.columns])
     return pairs.join(outcome, "order_id")
 
 
+def _revenue(name: str) -> Column:
+    return X.total_of(F.col(f"{name}_whole"), F.col(f"{name}_units")).alias(name)
+
+
 def _weighted(column: Column | str) -> Column:
     return X.round_half_away(X.exact_weighted_mean(column, "n"), 2)
 
@@ -211,12 +216,18 @@ def seller_delivery_performance(
     attributes = SELLER_PLACE if attach is None else []
     def parts(name: str, column: Column | str) -> list[Column]:
         value = F.col(column) if isinstance(column, str) else column
-        return [F.sum(X.as_units(value) * F.col("n")).alias(f"{name}_units"),
+        whole, units = X.whole_and_units(value)
+        return [F.try_sum(whole * F.col("n")).alias(f"{name}_whole"), F.try_sum(units * F.col("n")).alias(f"{name}_units"),
                 F.sum(F.when(value.isNotNull(), F.col("n"))).alias(f"{name}_n")]
 
+    def mean(name: str) -> Column:
+        total = X.total_of(F.col(f"{name}_whole"), F.col(f"{name}_units"))
+        return X.round_half_away(total / F.nullif(F.sum(f"{name}_n"), F.lit(0)).cast("double"), 2)
+
     places = _pairs_with_orders(items, orders, ["seller_id", *attributes]).groupBy("seller_id", *attributes).agg(
         F.count("order_id").alias("orders"),
-        F.sum("revenue_units").alias("revenue_units"),
+        F.try_sum("revenue_whole").alias("revenue_whole"),
+        F.try_sum("revenue_units").alias("revenue_units"),
         *parts("days", _if_delivered("delivery_days")),
         *parts("delay", _if_delivered("delivery_delay_days")),
         *parts("score", "average_review_score"),
@@ -229,40 +240,30 @@ def seller_delivery_performance(
         F.max("seller_city").alias("seller_city"),
         F.max("seller_state").alias("seller_state"),
         F.sum("orders").alias("orders"),
-        (F.sum("revenue_units").cast("double") / F.lit(100.0)).alias("revenue"),
-        _mean_of("days_units", "days_n").alias("average_delivery_days"),
-        _mean_of("delay_units", "delay_n").alias("average_delivery_delay_days"),
+        _revenue("revenue"),
+        mean("days").alias("average_delivery_days"),
+        mean("delay").alias("average_delivery_delay_days"),
         F.sum("late").alias("late_orders"),
         _rate(F.sum("late"), F.sum("known")).alias("late_delivery_rate"),
-        _mean_of("score_units", "score_n").alias("average_review_score"),
+        mean("score").alias("average_review_score"),
     )
 
 
 def seller_state_operations(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per state; items are reduced to (state, order) pairs, so distinct orders are a row count.
-
-    Sellers are counted apart: several distinct counts in one aggregate would copy every row.
-    """
-    late, known = _count(_LATE), _count(_KNOWN)
-    sellers = (
-        items.select("seller_state", "seller_id", "order_id").distinct()
-        .join(orders.select("order_id"), "order_id", "left_semi")
-        .groupBy(F.col("seller_state").alias("of")).agg(F.count_distinct("seller_id").alias("sellers")))
-    states = (
-        _pairs_with_orders(items, orders, ["seller_state"])
+    """One row per state, from one exchange of the items: rows of (state, seller, order), of which each order's first counts it."""
+    late, known = (F.count_if(F.col("first") & F.expr(condition)) for condition in (_LATE, _KNOWN))
+    return (
+        _pairs_with_orders(items, orders, ["seller_state", "seller_id"], first=["seller_state"])
         .groupBy("seller_state")
         .agg(
-            F.count("order_id").alias("orders"),
-            (F.sum("revenue_units").cast("double") / F.lit(100.0)).alias("revenue"),
-            (F.sum("freight_units").cast("double") / F.lit(100.0)).alias("freight"),
+            F.count_distinct("seller_id").alias("sellers"),
+            F.count_if("first").alias("orders"),
+            _revenue("revenue"),
+            _revenue("freight"),
             _weighted(_if_delivered("delivery_days")).alias("average_delivery_days"),
             late.alias("late_orders"),
             _rate(late, known).alias("late_delivery_rate"),
         )
-    )
-    return (
-        states.join(sellers, F.col("seller_state").eqNullSafe(F.col("of")))
-        .select("seller_state", "sellers", *[c for c in states.columns if c != "seller_state"])
         .orderBy(F.desc("revenue"), "seller_state")
     )
 

@@ -149,3 +149,42 @@ def test_a_seller_is_counted_in_few_places(spark):
         want = items.groupBy(*keys).agg(*[F.count_distinct(c).alias(n) for n, c in distinct.items()], F.sum("item_revenue").alias("revenue"))
         columns = [*keys, *distinct, "revenue"]
         assert df.select(columns).exceptAll(want.select(columns)).count() == 0 and df.count() == want.count()
+
+
+def test_category_operations_sends_narrow_pairs(spark):
+    items = spark.createDataFrame(
+        [("o1", None, 1.0), ("o1", None, 2.0), ("o2", "a", 4.0), (None, "a", 8.0), (None, "b", 0.0)],
+        "order_id string, product_category string, price double").selectExpr(
+        "*", "price item_revenue", "price / 2 item_freight", "price * 1.5 item_total_value", "0.5D freight_ratio")
+    df = operations.category_operations(items)
+    assert [(r.product_category, r.orders, r.order_items, r.revenue, r.freight, r.freight_to_revenue_ratio) for r in df.collect()] == [
+        ("a", 1, 2, 12.0, 6.0, 0.5), (None, 1, 2, 3.0, 1.5, 0.5), ("b", 0, 1, 0.0, 0.0, None)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    pairs = next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    assert "order_id" in pairs and "item_revenue" not in pairs
+
+
+def test_states_of_sellers_from_one_exchange_of_the_items(spark):
+    """Orders, lateness and sellers of a state, with gaps, an order of two sellers and states, and an order that comes twice."""
+    items = spark.createDataFrame(
+        [("o1", "s1", "A", 1.0), ("o1", "s1", "A", 2.0), ("o1", "s2", "A", 4.0), ("o1", "s3", "B", 8.0), ("o2", "s2", "A", 16.0),
+         ("o2", None, None, 32.0), ("o3", None, "B", 64.0), ("gone", "s9", "A", 128.0), (None, "s8", "A", 256.0)],
+        "order_id string, seller_id string, seller_state string, item_revenue double").selectExpr("*", "0.25D item_freight")
+    orders = spark.createDataFrame(
+        [("o1", True, True, 6.0, 1.0, 5.0), ("o2", True, False, 2.0, -1.0, None), ("o3", False, None, 9.0, None, 3.0),
+         ("o3", True, True, 4.0, 1.0, 3.0), (None, True, True, 1.0, 1.0, 1.0)], ORDERS)
+    df = operations.seller_state_operations(items, orders)
+    assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+    assert [tuple(r) for r in df.collect()] == [
+        ("B", 1, 3, 136.0, 0.75, 5.0, 2, 100.0), (None, 0, 1, 32.0, 0.25, 2.0, 0, 0.0), ("A", 2, 2, 23.0, 1.0, 5.0, 1, 50.0)]
+    assert len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_seller_sums_stay_exact_in_two_steps(spark):
+    items = spark.createDataFrame(
+        [("o1", "s", "c", "S", 9e14 + 0.25), ("o1", "s", "c", "S", 0.01), ("o2", "s", "d", "S", 9e14 + 0.5), ("o2", "s", "d", "S", 1e15)],
+        "order_id string, seller_id string, seller_city string, seller_state string, item_revenue double").selectExpr("*", "0.0D item_freight")
+    orders = spark.createDataFrame([("o1", True, True, 0.1, 1.0, 4.33), ("o2", True, False, 0.2, -1.5, None)], ORDERS)
+    row = operations.seller_delivery_performance(items, orders).first()
+    assert (row.seller_city, row.revenue, row.average_delivery_days, row.average_delivery_delay_days, row.average_review_score) == (
+        "d", 1.8e15 + 0.75, 0.15, -0.25, 4.33)

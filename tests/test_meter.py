@@ -53,7 +53,7 @@ def test_a_written_table_leaves_no_exchange(spark, tmp_path):
 
 
 def test_mart_checks_read_stored_marts(spark, sample):
-    for name, scanned in (("product_seller_validation", 3 + 4),):
+    for name, scanned in (("product_seller_validation", 3 + 4), ("operations_validation", 3 + 7)):
         checks = entry_module.queries()[name](spark, sample)
         assert scans(checks) <= scanned and not checks.where("status <> 'PASS'").count()
 
