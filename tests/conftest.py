@@ -26,6 +26,13 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_cached(spark):
+    """Tables that one module caches do not show up in the plans that another looks at."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def sample():
     return f"{SAMPLE_ROOT}/sf0.001"
